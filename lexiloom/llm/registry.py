@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, secrets)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -1,0 +1,159 @@
+"""Secret scan with multipart credential linking, DataFrame operations only.
+
+Strong spans (``BASE``) stand alone. Weak parts (secret-like strings, client or
+user identifiers, service endpoints) mean little by themselves; an interval join
+looks for complementary parts within ``SCOPE`` code points of each other in the
+same text and reports weak parts only where they meet:
+
+* a secret-like string needs an access identifier, strong or weak, in its scope;
+* a weak identifier needs a secret, strong or weak, in its scope;
+* an endpoint needs both.
+
+Texts are read once, by regular expressions in the JVM. What is joined are spans
+(three numbers), dealt by row and block of text; the joins are semi joins, so
+no pairs are made however dense the credentials of one text are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import stage, table, text_of, with_row_key
+
+#: Names of span kinds; a kind's number is its place, which also breaks ties in sorting.
+KINDS = ("assign", "access", "hex", "secret", "ident", "endpoint")
+ASSIGN, ACCESS, HEX, SECRET, IDENT, ENDPOINT = range(6)
+#: Two parts are in one scope when one begins within so many code points of the other.
+SCOPE = 200
+
+ASSIGN_PATTERN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_HINT = r"(?i:passw(?:or)?d|secret|token|api_?key)"
+ASSIGN_LEAST = 6
+#: Whole runs of the class that are long enough; the same spans as leftmost runs with the short ones dropped.
+ACCESS_PATTERN = r"AKIA[A-Z0-9]{16,}"
+HEX_PATTERN = r"[0-9a-f]{24,}"
+#: 32 to 88 characters of base64 with a digit and letters of both cases.
+SECRET_PATTERN = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
+IDENT_PATTERN = r"(?:ASIA[A-Z0-9]{16,}|(?i:client_?id|access_?key_?id|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,})"
+ENDPOINT_PATTERN = r"(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
+WEAK_HINT = r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|(?i:client_?id|access_?key_?id|user(?:name)?|login)[\"']?\x20*[:=]"
+
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
+    """Spans of the leftmost matches of ``pattern`` that do not overlap, counted in code points.
+
+    The pieces between matches and the matches themselves give the places, so
+    all is one pass of Java's matcher each; ``keep`` filters matches by their text.
+    """
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast(SPAN)
+    walked = F.aggregate(
+        F.arrays_zip(between.alias("gap"), found.alias("hit")),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
+            F.when(
+                x["hit"].isNotNull() & (keep(x["hit"]) if keep else F.lit(True)),
+                F.array_append(
+                    acc["out"],
+                    F.struct(
+                        (acc["at"] + F.char_length(x["gap"])).alias("start"),
+                        F.lit(kind).alias("kind"),
+                        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
+                    ),
+                ),
+            )
+            .otherwise(acc["out"])
+            .alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, row key, strong spans (``base``) and unlinked weak parts (``weak``) of every whole text."""
+    text = text_of(text_col)
+    none = F.array().cast(SPAN)
+    long_enough = lambda m: F.char_length(F.regexp_extract(m, ASSIGN_PATTERN, 2)) >= ASSIGN_LEAST
+    base = F.concat(
+        F.when(text.rlike(ASSIGN_HINT), spans_of(text, ASSIGN_PATTERN, ASSIGN, long_enough)).otherwise(none),
+        F.when(text.contains("AKIA"), spans_of(text, ACCESS_PATTERN, ACCESS)).otherwise(none),
+        spans_of(text, HEX_PATTERN, HEX),
+    )
+    weak = F.when(
+        text.rlike(WEAK_HINT),
+        F.concat(*(spans_of(text, p, k) for p, k in ((SECRET_PATTERN, SECRET), (IDENT_PATTERN, IDENT), (ENDPOINT_PATTERN, ENDPOINT)))),
+    ).otherwise(none)
+    return with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.array_sort(base).alias("base"), weak.alias("weak"))
+
+
+def near(left: DataFrame, right: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Rows of ``left`` whose start lies within ``scope`` of a span of ``right`` in the same text: an interval semi join.
+
+    Both sides have _r_file, _r_row, start, end. Starts fall in blocks of
+    ``scope``; a right span is copied to the blocks that its scope meets.
+    """
+    blocks = right.select(
+        "_r_file",
+        "_r_row",
+        (F.col("start") - scope).alias("low"),
+        (F.col("end") + scope).alias("high"),
+        F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("block"),
+    )
+    left = left.withColumn("block", F.floor(F.col("start") / scope))
+    on = [left[c] == blocks[c] for c in ("_r_file", "_r_row", "block")] + [left["start"] >= blocks["low"], left["start"] <= blocks["high"]]
+    return left.join(blocks, on, "left_semi").drop("block")
+
+
+def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Weak parts of staged ``scan`` rows that meet their complements: _r_file, _r_row, linked (spans)."""
+    key = ["_r_file", "_r_row"]
+    some = scanned.where(F.size("weak") > 0)
+    strong = some.select(*key, F.inline("base"))
+    # A weak part inside a strong span says nothing new.
+    weak = some.select(*key, F.inline(F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))))
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    idents = of(strong, ACCESS).unionByName(of(weak, IDENT))
+    secrets = of(strong, ASSIGN, HEX).unionByName(of(weak, SECRET))
+    linked = near(of(weak, SECRET), idents, scope).unionByName(near(of(weak, IDENT), secrets, scope)).unionByName(near(near(of(weak, ENDPOINT), idents, scope), secrets, scope))
+    return linked.groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """Every row of ``docs`` with its strong spans (``base``) and all spans (``spans``), sorted by start and kind.
+
+    Columns: id, _r_file, _r_row, base, spans; a span is (start, kind, end) in
+    code points, end exclusive, kind a place in ``KINDS``. Null texts count as
+    empty and have no spans; null ids stay null; repeated rows are scanned each
+    for itself; other columns are ignored; an empty table gives no rows.
+    """
+    scanned = stage(scan(docs, id_col, text_col), "secrets")
+    return scanned.join(link(scanned, scope), ["_r_file", "_r_row"], "left").select(
+        "id", "_r_file", "_r_row", "base", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))).alias("spans")
+    )
+
+
+def written(spans: str) -> Column:
+    """Spans as kind:start:end, joined by commas."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        count(ASSIGN).alias("n_assign"),
+        count(ACCESS).alias("n_access"),
+        count(HEX).alias("n_hex"),
+        F.sha2(written("base"), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+    )
+
+
+QUERIES = {"op10_secrets": op10_secrets}
+ORACLES: dict[str, str] = {}
