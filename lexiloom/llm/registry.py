@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, simhash
+from . import credentials, exact_dedup, packing, simhash
 
-MODULES = (exact_dedup, secrets, simhash)
+MODULES = (credentials, exact_dedup, packing, simhash)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
