@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import credentials, exact_dedup, mixing, packing, quality, simhash
+from . import credentials, exact_dedup, mixing, packing, quality, simhash, toxicity
 
-MODULES = (credentials, exact_dedup, mixing, packing, quality, simhash)
+MODULES = (credentials, exact_dedup, mixing, packing, quality, simhash, toxicity)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
