@@ -12,9 +12,11 @@ others there, so a partition sends that bin and its ``HOSTS`` emptiest others.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,6 @@ ITEMS = 100_000
 FAN_IN = 16
 #: Bins that a partition sends up besides the one that is at most half full.
 HOSTS = 63
-#: Words whose ids a worker keeps.
-CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -41,39 +41,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of texts under a byte-level BPE that splits words at spaces.
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Ranks (bytes to id) of a plain byte-level BPE file whose ids follow its merges, else None.
 
-    A single space between two characters that are not white space begins a new
-    piece for the tokenizer, so ids of the parts, joined, are the ids of the whole;
-    parts repeat and are kept. Texts with other runs that hold a space go to the
-    tokenizer whole.
+    With those, a second library gives the same ids as the file's own in a fraction of the time.
     """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    # Byte-level files spell bytes that do not print by characters from 256 up.
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in itertools.pairwise(merged)):
+        return None
+    return {bytes(byte[c] for c in token): k for token, k in vocab.items() if token not in special}
 
-    def __init__(self, path: str):
-        import re
 
-        from tokenizers import Tokenizer
+#: How byte-level BPE cuts a text before it merges: a fixed value of the tokenizer family.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.odd = re.compile(r"\s \s|  ").search
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids under a tokenizer file, special tokens neither added nor read."""
+    if ranks := ranks_of(path):
+        import tiktoken
 
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [None if self.odd(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = list({w for p in parts if p for w in p if w not in self})
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list({w for p in parts if p for w in p})
-        for k in range(0, len(new), 4096):
-            self.update(zip(new[k : k + 4096], self.whole(new[k : k + 4096]), strict=True))
-        get = self.__getitem__
-        for text, p in zip(texts, parts, strict=True):
-            yield b"".join(map(get, p)) if p else self.whole([text])[0]
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,13 +90,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        words = WordIds(path)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, len(whole), 256)):
                 rows: list[tuple] = []
-                for i, ids in enumerate(words.of(batch.column(3).to_pylist())):
-                    ids += end
+                for i, text in enumerate(batch.column(3)):
+                    ids = np.array([*encode(text.as_py()), end_id], "<u4").tobytes()
                     n = len(ids) // 4
                     cuts = [0, *range(n % length or min(n, length), n, length), n]
                     rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), ids[4 * a : 4 * b] if keep_ids else None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
