@@ -1,27 +1,57 @@
-"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, source mixing, best-fit packing."""
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, source mixing, best-fit packing.
+
+Each stage takes documents and, but for the last, returns documents: rows that it
+drops are gone, rows that the mix takes twice are there twice. The last returns
+the pieces of all that is left with their places in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import exact_dedup
+from lexiloom.llm import exact_dedup, mixing, packing, simhash, toxicity
+from lexiloom.llm.common import stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, five-word shingles and a similarity of 0.8, stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id").drop("_r_file", "_r_row")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Toxicity scores, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written to the shared folder and read again."""
-    from lexiloom.llm.common import stage, table
-
+    """The stages over the documents table, each result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
