@@ -31,7 +31,8 @@ class Forest:
 
     def __init__(self, group: np.ndarray, prints: np.ndarray):
         """``prints``: (n,) or (n, words) of uint64."""
-        self.prints = prints.astype(np.uint64, copy=False).reshape(len(prints), -1)
+        self.prints = prints.astype(np.uint64, copy=False)
+        self.prints = self.prints[:, None] if prints.ndim == 1 else self.prints
         self.most = 64 * self.prints.shape[1]
         self.span = self.most + 1
         n = len(prints)
