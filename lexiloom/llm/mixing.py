@@ -30,7 +30,7 @@ MOST = 2.0
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 7
 #: Documents of a group on average, and groups that meet in one.
-GROUP = 50_000
+GROUP = 4_000
 FAN_IN = 16
 #: Sources up to this number are broadcast to the documents (about 100 bytes each); more are joined by a shuffle.
 BROADCAST = 20_000
