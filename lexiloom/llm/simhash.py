@@ -149,10 +149,10 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), pa.int64()))
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of texts with this shingle similarity (Jaccard) differ, one standard deviation above the mean."""
+def radius_for(similarity: float, bits: int, deviations: float = 1.5) -> int:
+    """Bits in which fingerprints of texts with this shingle similarity (Jaccard) differ: the mean and so many standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int = 4, exact: int = 2, bands: int = 0, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +178,8 @@ def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int =
     return made.join(each, "print").select("id", "_r_file", "_r_row", "print", "component_id")
 
 
-#: Near-dedup at a similarity of 0.8: 256 bits, and eight bands of three minima, in one of which at least 99.6 % of pairs at 0.8 meet.
-NEAR = {"words": 5, "n_words": 4, "bands": 8, "rows": 3}
+#: Near-dedup at a similarity of 0.8: 512 bits, and eight bands of three minima, in one of which at least 99.6 % of pairs at 0.8 meet.
+NEAR = {"words": 5, "n_words": 8, "bands": 8, "rows": 3}
 SIMILARITY = 0.8
 
 
