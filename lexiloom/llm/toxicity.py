@@ -159,13 +159,15 @@ def hits(text: str | None, found: Hits) -> tuple[int, int, int, int]:
 
 
 def inputs(x: np.ndarray) -> np.ndarray:
+    """What the model weighs. A misspelled stem counts as ``MISSPELLED`` of one: labelled rows have too few to tell."""
     stems, bad, cited, n = x.astype(np.float64).T
-    all_ = stems + 0.7 * bad
-    return np.column_stack([np.ones(len(x)), np.log1p(stems), np.log1p(bad), np.log1p(cited), np.minimum(all_, 2) / 2, np.minimum(1, 20 * all_ / np.maximum(n, 1))])
+    own = stems + MISSPELLED * bad
+    return np.column_stack([np.ones(len(x)), np.log1p(own), np.minimum(own, 2) / 2, np.minimum(1, 20 * own / np.maximum(n, 1)), np.log1p(cited)])
 
 
+MISSPELLED = 0.9
 #: Used where labels cannot teach a model.
-DEFAULT = np.array([-4.0, 2.0, 1.5, 0.3, 4.0, 1.0])
+DEFAULT = np.array([-4.0, 2.0, 4.0, 1.0, 0.3])
 
 
 @dataclass
