@@ -8,6 +8,8 @@ rows that need not go are sent as nulls.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -134,12 +136,35 @@ def is_nfkd(c: Column | str) -> Column:
     return is_normalized(c, "NFKD")
 
 
-def _python(function):
-    """A pandas UDF of ``function(text, tables)`` that passes nulls by."""
+#: Words whose results a task keeps.
+CACHE = 200_000
+
+
+def _python(function, by_word: bool = False):
+    """A pandas UDF of ``function(text, tables)`` that passes nulls by.
+
+    ``by_word``: the function works on each side of a space by itself, as a space
+    takes part in no composition and no reordering, so words are looked up.
+    """
     t = tables(_spark())
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else function(x, t))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: dict[str, str] = {}
+
+        def words(text: str) -> str:
+            parts = text.split(" ")
+            out = list(map(kept.get, parts))
+            if None in out:
+                if len(kept) > CACHE:
+                    kept.clear()
+                for k, x in enumerate(out):
+                    if x is None:
+                        out[k] = kept[parts[k]] = function(parts[k], t)
+            return " ".join(out)
+
+        of = words if by_word else lambda x: function(x, t)
+        for texts in batches:
+            yield texts.map(lambda x: None if x is None else of(x))
 
     return F.pandas_udf(run, "string")
 
@@ -175,7 +200,7 @@ def skeleton(c: Column | str) -> Column:
     easy = F.translate(c, "01I|`", "Olll'")
     for a, b in (("m", "rn"), ('"', "''"), ("%", "º/₀")):
         easy = F.replace(easy, F.lit(a), F.lit(b))
-    return F.when(ascii_, easy).otherwise(_python(_skeleton)(F.when(~ascii_, c)))
+    return F.when(ascii_, easy).otherwise(_python(_skeleton, by_word=True)(F.when(~ascii_, c)))
 
 
 def are_confusable(a: Column | str, b: Column | str) -> Column:
@@ -193,7 +218,7 @@ def match_key(c: Column | str, mode: str = "standard") -> Column:
     if mode == "turkish":  # I folds to dotless i, which looks like i
         easy = F.when(F.contains(c, F.lit("I")), F.lit(None)).otherwise(easy)
         ascii_ = ascii_ & ~F.contains(c, F.lit("I"))
-    return F.when(ascii_, easy).otherwise(_python(lambda x, t: _match_key(x, t, mode))(F.when(~ascii_, c)))
+    return F.when(ascii_, easy).otherwise(_python(lambda x, t: _match_key(x, t, mode), by_word=True)(F.when(~ascii_, c)))
 
 
 def match_key_utf16(c: Column | str, mode: str = "standard") -> Column:

@@ -32,7 +32,7 @@ def collision_groups(df: DataFrame, text: str, id_col: str, mode: str = "standar
     all rows has costs no more than another.
     """
     more = [F.sort_array(F.collect_list(id_col)).alias("ids")] if members else []
-    groups = with_match_key(df, text, "match_key", mode).where("match_key is not null").groupBy("match_key")
+    groups = with_match_key(df.where(F.col(text).isNotNull()), text, "match_key", mode).groupBy("match_key")
     return groups.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.count_distinct(text).alias("n_texts"), *more).where("n > 1")
 
 
@@ -41,6 +41,5 @@ def dedup_by_key(df: DataFrame, text: str, order: str, mode: str = "standard") -
 
     ``min_by`` aggregates before the shuffle; a window would gather all rows of a key.
     """
-    keyed = with_match_key(df, text, "_key", mode)
-    best = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row"))
+    best = with_match_key(df.where(F.col(text).isNotNull()), text, "_key", mode).groupBy("_key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row"))
     return best.select("_row.*").unionByName(df.where(F.col(text).isNull()))
