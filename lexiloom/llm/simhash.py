@@ -174,7 +174,8 @@ def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int =
     comps = components(shard_links(shards, radius, n_words))
     named = comps.join(prints, comps["node"] == prints["print"]).groupBy("comp").agg(F.min("least").alias("first"))
     of = comps.join(named, "comp").select(F.col("node").alias("print"), "first")
-    each = prints.join(of, "print", "left").select("print", F.coalesce("first", "least").alias("component_id"))
+    # Written, so that the last join reads two tables and Spark can split a fingerprint that very many rows share.
+    each = stage(prints.join(of, "print", "left").select("print", F.coalesce("first", "least").alias("component_id")), "print-components")
     return made.join(each, "print").select("id", "_r_file", "_r_row", "print", "component_id")
 
 
