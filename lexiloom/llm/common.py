@@ -65,6 +65,23 @@ def with_row_key(df: DataFrame, file: str = "_r_file", row: str = "_r_row") -> D
         return df.withColumns({file: F.lit(0).cast("long"), row: F.monotonically_increasing_id()})
 
 
+def join_rows(docs: DataFrame, rows: DataFrame, how: str, *carry: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` (read from files) joined to ``rows`` by their row keys, and the names that the columns ``carry`` of ``rows`` have there.
+
+    Columns of ``docs`` keep their values, whatever their names: added ones get names that it does not use.
+    """
+    used = {c.lower() for c in docs.columns}
+    new = []
+    for c in ("_r_file", "_r_row", *carry):
+        while c.lower() in used:
+            c += "_"
+        used.add(c.lower())
+        new.append(c)
+    file, row, *carried = new
+    rows = rows.select(F.col("_r_file").alias(file), F.col("_r_row").alias(row), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    return with_row_key(docs, file, row).join(rows, [file, row], how), carried
+
+
 def text_of(column: str) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, table, text_of, with_row_key
+from .common import SPACE, join_rows, stage, table, text_of, with_row_key
 
 #: Runs that meet in one round: 16 are four binomial steps done by one multiway merge.
 FAN_IN = 16
@@ -88,7 +88,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (read from files) without the rows that ``exact_groups`` does not keep; all columns stay."""
     gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("_r_file", "_r_row")
-    return with_row_key(docs).join(gone, ["_r_file", "_r_row"], "left_anti").select(*docs.columns)
+    return join_rows(docs, gone, "left_anti")[0].select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

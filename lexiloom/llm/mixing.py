@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, table, text_of, with_row_key
+from .common import WORD, join_rows, stage, table, text_of, with_row_key
 
 SHARE = 1.5
 MOST = 2.0
@@ -211,9 +211,9 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` (read from files) with each row as often as ``mix`` takes it; all columns stay."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).where("copies > 0").select("_r_file", "_r_row", F.col("copies").alias("_r_copies"))
-    both = with_row_key(docs).join(taken, ["_r_file", "_r_row"])
-    return both.withColumn("_r_copies", F.explode(F.sequence(F.lit(1), F.col("_r_copies")))).select(*docs.columns)
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).where("copies > 0")
+    both, (copies,) = join_rows(docs, taken, "inner", "copies")
+    return both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import stage, table, with_row_key
+from .common import join_rows, stage, table, with_row_key
 from .components import components
 
 SEED = 42
@@ -191,7 +191,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     groups = stage(groups, "near-groups")
     first = groups.groupBy("component_id").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
     gone = groups.join(first, groups["component_id"].eqNullSafe(first["component_id"])).where((F.col("best._r_file") != F.col("_r_file")) | (F.col("best._r_row") != F.col("_r_row")))
-    return with_row_key(docs).join(gone.select("_r_file", "_r_row"), ["_r_file", "_r_row"], "left_anti").select(*docs.columns)
+    return join_rows(docs, gone, "left_anti")[0].select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_exact_groups(docs, rows):
 
 def test_exact_drop(docs, empty):
     left = exact_dedup.drop_exact_copies(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and all(r._r_file in ("x", None) for r in left.collect())
     texts = [re.sub(r"[\x20\x09-\x0D]+", "", r.text or "") for r in left.collect()]
     assert len(texts) == len(set(texts))
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0

@@ -96,5 +96,5 @@ def test_flight_keeps_totals():
 
 def test_rows_of_the_mix(docs, rows):
     out = mixing.mixed_rows(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and all(r._r_file in ("x", None) for r in out.collect())
     assert out.count() == mixing.mix(docs).agg({"copies": "sum"}).first()[0]
