@@ -172,7 +172,7 @@ def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int =
     prints = stage(made.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
     shards = band_shards(made) if bands else block_shards(prints, radius, exact)
     comps = components(shard_links(shards, radius, n_words))
-    named = comps.join(prints, comps["node"] == prints["print"]).groupBy("comp").agg(F.min("least").alias("first"))
+    named = stage(comps.join(prints, comps["node"] == prints["print"]).groupBy("comp").agg(F.min("least").alias("first")), "component-names")
     of = comps.join(named, "comp").select(F.col("node").alias("print"), "first")
     # Written, so that the last join reads two tables and Spark can split a fingerprint that very many rows share.
     each = stage(prints.join(of, "print", "left").select("print", F.coalesce("first", "least").alias("component_id")), "print-components")
