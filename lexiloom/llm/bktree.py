@@ -11,10 +11,15 @@ Two consequences, for links at ``radius`` or less:
 Queries run in growing batches. After each batch, subtrees whose nodes all belong
 to one component are marked, and later queries of that component skip them. So a
 large cluster of near copies, which has quadratically many links, costs few visits.
+
+With a test of pairs the radius only finds candidates, and a pair is linked if it
+passes too. Then no edge links by its key alone, and all within the range are followed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: (query, node) pairs compared at once; bounds memory.
@@ -66,9 +71,10 @@ class Forest:
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         return which, self.order[place]
 
-    def components(self, radius: int) -> np.ndarray:
-        """For each fingerprint the smallest index of its component under links of at most ``radius``."""
+    def components(self, radius: int, test: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """For each fingerprint the smallest index of its component under links of at most ``radius`` that pass ``test``."""
         n = len(self.prints)
+        self.test = test
         self.comp = np.arange(n)
         near = (self.parent >= 0) & (self.key <= radius)
         hold = np.full(n, -1)
@@ -76,7 +82,7 @@ class Forest:
             up = self.parent[level]
             hold[level] = np.where(near[level], up, hold[up])
         held = np.flatnonzero(hold >= 0)
-        self._join(held, hold[held])
+        self._link(held, hold[held])
         start, batch = 0, 256
         while start < n:
             uniform = self._uniform()
@@ -99,11 +105,19 @@ class Forest:
                 continue
             d = distance(self.prints[q], self.prints[node])
             hit = d <= radius
-            self._join(q[hit], node[hit])
-            which, child = self.children(node, np.where(hit, radius + 1, d - radius), d + radius)
+            self._link(q[hit], node[hit])
+            which, child = self.children(node, np.where(hit & (self.test is None), radius + 1, d - radius), d + radius)
             if len(which):
                 todo.append((q[which], child))
 
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        if self.test is not None:
+            open_ = self.comp[a] != self.comp[b]
+            a, b = a[open_], b[open_]
+            passed = self.test(a, b)
+            a, b = a[passed], b[passed]
+        self._join(a, b)
+
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Union of the components of a[i] and b[i], by hooking to the smaller label and shortening paths."""
         comp = self.comp

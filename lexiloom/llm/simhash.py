@@ -6,9 +6,10 @@ is set in over half of them. Two ways of dealing fingerprints to shards:
 * ``blocks`` (exact, small radius): the bits fall into ``radius + exact`` blocks, so two
   fingerprints within the radius agree in at least ``exact`` whole blocks; a
   shard is one choice of blocks with one content. No link is lost.
-* ``minhash`` (large radius, as a shingle similarity of 0.8 needs): shards are bands of
-  minima over the document's shingles; what share of pairs meets is a formula of
-  similarity, bands and rows.
+* ``minhash`` (a shingle similarity such as 0.8): shards are bands of minima over the
+  document's shingles; what share of pairs meets is a formula of similarity, bands and
+  rows. Here trees only find candidates: each distinct shingle counts once, the radius is
+  wide, and a pair is linked after its Jaccard similarity is counted on the shingle sets.
 
 A shard's BK-tree is built where the shard's rows arrive, and links found there
 leave as one star per component, not as pairs. Trees are not broadcast: all
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ from .components import components
 SEED = 42
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 17
-#: Rows of shards that are put into one forest.
+#: Rows of shards that are put into one forest, and shingles where their sets come along.
 FOREST = 1 << 18
+SHINGLES = 1 << 22
 _MIX, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -64,9 +67,14 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int, n_words: int = 1, minima: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(``n_words`` words of fingerprint, ``minima`` minima over the shingles); all zero without a word."""
+    return majority(shingle_hashes(text, words), n_words, minima)
+
+
+def majority(hashes: Iterable[np.ndarray], n_words: int, minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """``fingerprint`` of shingles that are hashed already."""
     ones, total = np.zeros((n_words, 64), np.int64), 0
     least = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         total += len(h)
         for k in range(n_words):
             bits = np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -78,6 +86,11 @@ def fingerprint(text: str | None, words: int, n_words: int = 1, minima: int = 0)
     return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel(), least
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
 def fingerprints(docs: DataFrame, words: int, n_words: int = 1, bands: int = 0, rows: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row key, ``print`` (array of longs) and ``bands`` (a long per band of ``rows`` minima) of each whole text."""
 
@@ -179,18 +192,150 @@ def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int =
     return made.join(each, "print").select("id", "_r_file", "_r_row", "print", "component_id")
 
 
+class Sets:
+    """Shingle sets, one after another in ``flat`` and ending at ``ends``; counts Jaccard similarities of pairs."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, similarity: float):
+        names, self.flat = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+        self.start, self.ends = np.concatenate(([0], ends[:-1])), ends
+        self.size = self.ends - self.start
+        self.least = Fraction(str(similarity))
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a[i] and b[i] are as similar as asked; none of them is empty."""
+        over, under = self.least.denominator, self.least.numerator
+        out = np.minimum(self.size[a], self.size[b]) * over >= under * np.maximum(self.size[a], self.size[b])
+        open_ = np.flatnonzero(out)
+        if len(np.unique(a[open_])) > len(np.unique(b[open_])):
+            a, b = b, a
+        open_ = open_[np.argsort(a[open_], kind="stable")]
+        cuts = np.flatnonzero(np.diff(a[open_])) + 1
+        for own in np.split(open_, cuts) if len(open_) else []:
+            x = a[own[0]]
+            mine = self.flat[self.start[x] : self.ends[x]]
+            self.mark[mine] = True
+            low = 0
+            while low < len(own):  # as many others at once as memory is meant for
+                sizes = self.size[b[own[low:]]]
+                high = low + max(1, int(np.searchsorted(np.cumsum(sizes), SHINGLES, "right")))
+                part, sizes = own[low:high], sizes[: high - low]
+                first = np.cumsum(sizes) - sizes
+                at = np.arange(sizes.sum()) - np.repeat(first - self.start[b[part]], sizes)
+                both = np.add.reduceat(self.mark[self.flat[at]], first, dtype=np.int64)
+                out[part] = both * over >= under * (len(mine) + sizes - both)
+                low = high
+            self.mark[mine] = False
+        return out
+
+
+def shingle_sets(docs: DataFrame, words: int, n_words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """``fingerprints`` in which each distinct shingle counts once, with ``set``, a digest of the distinct shingles."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, prints, keys = [], [], []
+            for text in batch.column(3):
+                own = shingle_set(text.as_py(), words)
+                bits, least = majority((own[k : k + CHUNK] for k in range(0, len(own), CHUNK)), n_words, bands * rows)
+                sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(bits.view(np.int64))
+                keys.append([xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)])
+            keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, bands)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), _lists(np.array(prints, np.int64).reshape(-1, n_words)), _lists(keys)], ["id", "_r_file", "_r_row", "set", "print", "bands"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col)).mapInArrow(make, f"id {kind}, _r_file long, _r_row long, set binary, print array<long>, bands array<long>")
+
+
+def set_links(docs: DataFrame, sets: DataFrame, words: int, n_words: int, similarity: float, text_col: str) -> DataFrame:
+    """Links (a, b: digests of ``sets``) that join each shard's components under pairs of at least this Jaccard similarity.
+
+    Shingles are read again, and sent along, only of texts that share a shard with another.
+    """
+    radius = wide_radius(similarity, 64 * n_words)
+    shards = sets.select(F.posexplode("bands").alias("band", "key"), "set", "print", "best").select(F.xxhash64("band", "key").alias("shard"), "set", "print", "best")
+    more = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    some = shards.join(more, "shard", "left_semi").groupBy("set").agg(F.collect_set("shard").alias("shards"), F.first("print").alias("print"), F.first("best").alias("best"))
+    rows, names = join_rows(docs, some.select("best._r_file", "best._r_row", "set", "print", "shards"), "inner", "set", "print", "shards")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                own = pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(3)], pa.large_binary()).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], own], ["set", "print", "shards", "shingles"])
+
+    def work(shard: np.ndarray, names: list[bytes], prints: np.ndarray, own: list[bytes]) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate(([0], shard[1:] != shard[:-1])))
+        sets_ = Sets(np.frombuffer(b"".join(own), np.uint64), np.cumsum([len(x) // 8 for x in own]), similarity)
+        comp = Forest(group, prints.view(np.uint64)).components(radius, sets_.similar)
+        leaf = np.flatnonzero(comp != np.arange(len(comp)))
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in leaf], pa.binary()), pa.array([names[i] for i in comp[leaf]], pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+
+        def flush(n: int) -> pa.RecordBatch:
+            shard, names, prints, own = (x[:n] for x in held)
+            for x in held:
+                del x[:n]
+            return work(np.array(shard), names, np.array(prints, np.int64).reshape(-1, n_words), own)
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).flatten().to_numpy().reshape(-1, n_words), batch.column(3).to_pylist(), strict=True):
+                if size >= SHINGLES and row[0] != held[0][-1]:
+                    yield flush(len(held[0]))
+                    size = 0
+                for x, v in zip(held, row, strict=True):
+                    x.append(v)
+                size += len(row[3]) // 8 + 1
+        if held[0]:
+            yield flush(len(held[0]))
+
+    sent = rows.select(*names, text_col).mapInArrow(read, "set binary, print array<long>, shards array<long>, shingles binary")
+    sent = sent.select(F.explode("shards").alias("shard"), "set", "print", "shingles")
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a binary, b binary")
+
+
+def wide_radius(similarity: float, bits: int, deviations: float = 6) -> int:
+    """Bits within which fingerprints of sets with this Jaccard similarity or more lie, but for one pair in 10**8.
+
+    The largest mean, and so many standard deviations: of long texts by the angle,
+    of short ones, whose majorities have ties, by the binomials of all shapes up to 40 shared shingles.
+    """
+    half = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2**n
+    p, least = math.acos(2 * similarity / (1 + similarity)) / math.pi, Fraction(str(similarity))
+    for shared in range(1, 41):
+        s = np.arange(shared + 1)
+        for a in range(int(shared * (1 / least - 1)) + 1):
+            for b in range(a, int(shared * (1 / least - 1)) - a + 1):
+                up = [(half(n) * (2 * (s[:, None] + np.arange(n + 1)) > shared + n)).sum(axis=1) for n in (a, b)]
+                p = max(p, float((half(shared) * (up[0] + up[1] - 2 * up[0] * up[1])).sum()))
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
 #: Near-dedup at a similarity of 0.8: 512 bits, and eight bands of three minima, in one of which at least 99.6 % of pairs at 0.8 meet.
 NEAR = {"words": 5, "n_words": 8, "bands": 8, "rows": 3}
 SIMILARITY = 0.8
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (read from files) with one row of each group of near copies: that of the smallest id, then place."""
-    groups = near_groups(docs, radius=radius_for(similarity, 64 * NEAR["n_words"]), id_col=id_col, text_col=text_col, **NEAR)
+    """``docs`` (read from files) with one row of each group of near copies: that of the smallest id, then place.
+
+    Groups are components under pairs whose sets of shingles have at least this
+    Jaccard similarity. Texts without a word are copies of each other.
+    """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_r_file", "_r_row")
-    groups = stage(groups, "near-groups")
-    first = groups.groupBy("component_id").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
-    gone = groups.join(first, groups["component_id"].eqNullSafe(first["component_id"])).where((F.col("best._r_file") != F.col("_r_file")) | (F.col("best._r_row") != F.col("_r_row")))
+    made = stage(shingle_sets(docs, id_col=id_col, text_col=text_col, **NEAR), "shingle-sets")
+    sets = stage(made.groupBy("set").agg(F.min(order).alias("best"), F.first("print").alias("print"), F.first("bands").alias("bands")), "distinct-sets")
+    comps = components(set_links(docs, sets, NEAR["words"], NEAR["n_words"], similarity, text_col))
+    firsts = stage(comps.join(sets, comps["node"] == sets["set"]).groupBy("comp").agg(F.min("best").alias("first")), "component-firsts")
+    of = comps.join(firsts, "comp").select(F.col("node").alias("set"), "first")
+    # Written, so that the last join reads two tables and Spark can split a set that very many rows share.
+    each = stage(sets.join(of, "set", "left").select("set", F.coalesce("first", "best").alias("first")), "set-firsts")
+    gone = made.join(each, "set").where((F.col("first._r_file") != F.col("_r_file")) | (F.col("first._r_row") != F.col("_r_row")))
     return join_rows(docs, gone, "left_anti")[0].select(*docs.columns)
 
 
