@@ -38,6 +38,8 @@ THRESHOLD = 0.7
 WINDOW = 5
 #: Distinct words whose hits a worker keeps.
 CACHE = 300_000
+#: Depth in the trie that few words are followed to.
+DEEP = 4
 
 # General insults, words of reporting, and characters that stand for letters.
 INSULTS = ("asshole", "bastard", "bitch", "cretin", "dumbass", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "stupid", "trash", "worthless")
@@ -57,59 +59,86 @@ def allowed(length: int) -> int:
 @dataclass
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
-    #: Length of the stem that ends here, 0 for none, and the edits that it may be off.
+    #: Length of the stem that ends here, 0 for none, the edits that it may be off, and the most that any stem below may be.
     stem: int = 0
     edits: int = 0
+    most: int = 0
 
 
 class Lexicon:
     """A trie of stems, searched by Levenshtein automata.
 
-    A stem that ends in ``*`` is only seen with various endings; near forms of it
-    are too many to be misspellings, so it has to match to the letter.
+    ``known`` are words that look like misspelled stems but are words of their
+    own, as labelled rows show; they match to the letter only. With ``free`` an
+    edit may be anywhere; else a word keeps its stem's first letter, and a stem that
+    ends in ``*`` (seen with various endings) has to match to the letter.
     """
 
-    def __init__(self, stems):
-        self.stems = sorted(set(stems))
+    def __init__(self, stems, known=(), free: bool = False):
+        self.stems, self.known, self.free = sorted(set(stems)), frozenset(known), free
+        #: Beginnings of words that no automaton follows to depth ``DEEP``; its rows so far look at no other letters.
+        self.dead: set[str] = set()
         self.root = Node()
         for s in self.stems:
-            node = self.root
-            for ch in s.rstrip("*"):
+            own = s.rstrip("*")
+            edits = allowed(len(own)) if free or own == s else 0
+            node, path = self.root, [self.root]
+            for ch in own:
                 node = node.children.setdefault(ch, Node())
-            node.stem, node.edits = len(s.rstrip("*")), 0 if s.endswith("*") else allowed(len(s))
+                path.append(node)
+            node.stem, node.edits = len(own), max(node.edits, edits)
+            for x in path:
+                x.most = max(x.most, edits)
 
     def match(self, word: str) -> int:
         """Edits between the word's beginning and the nearest stem within its allowance; -1 for none.
 
         The automaton's state at a trie node is the row of edit distances between
-        the node's string and the word's beginnings; a node is left as soon as
-        its row has nothing within the largest allowance. An edited word keeps
-        its first letter, and is at most as much longer than the stem as
-        the stem itself is long.
+        the node's string and the word's beginnings, for two
+        letters less to two more than the node's depth, as others are further off. A node is left as
+        soon as its row has nothing within the largest allowance below it. An edited
+        word is at most as much longer than the stem as the stem itself is long.
         """
-        best = -1
-        first = self.root.children.get(word[:1])
-        if first is None:
-            return best
+        best, far, full = -1, 9, len(word)
         word = word[:40]
-        todo = [(first, word[0], [abs(j - 1) for j in range(len(word) + 1)], None, 1)]
+        n = len(word)
+        near = word not in self.known
+        begin = word[: DEEP + 2]
+        if begin in self.dead:
+            return best
+        deep = not near or n < DEEP + 2
+        todo = [(self.root, "", list(range(n + 1)), None, 0)]
         while todo:
             node, ch, row, before, depth = todo.pop()
+            deep = deep or depth >= DEEP or bool(node.stem)
             if node.stem:
-                off = min(row[1:])
-                if off == 0 or off <= node.edits and len(word) >= node.stem - off and len(word) <= 2 * node.stem:
+                off = min(row[1:], default=far)
+                if off == 0 or near and off <= node.edits and full >= node.stem - off and full <= 2 * node.stem:
                     best = off if best < 0 else min(best, off)
                     if best == 0:
                         return 0
-            for c, child in node.children.items():
-                new = [row[0] + 1]
-                for j in range(1, len(word) + 1):
-                    v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != c))
-                    if before is not None and j > 1 and word[j - 1] == ch and word[j - 2] == c:  # two letters in the other order
-                        v = min(v, before[j - 2] + 1)
-                    new.append(v)
-                if min(new) <= 2:
-                    todo.append((child, c, new, row, depth + 1))
+            depth += 1
+            low, high = max(1, depth - 2), min(n, depth + 2)
+            if low > n:
+                continue
+            for c, child in node.children.items() if self.free or depth > 1 else [(word[0], node.children[word[0]])] if word[:1] in node.children else []:
+                new = [far] * (n + 1)
+                new[0] = depth
+                for j in range(low, high + 1):
+                    v = row[j - 1] + (word[j - 1] != c)
+                    if row[j] < v:
+                        v = row[j] + 1
+                    if new[j - 1] < v:
+                        v = new[j - 1] + 1
+                    if before is not None and j > 1 and word[j - 1] == ch and word[j - 2] == c and before[j - 2] < v:  # two letters in the other order
+                        v = before[j - 2] + 1
+                    new[j] = v
+                if min(new) <= (child.most if near else 0):
+                    todo.append((child, c, new, row, depth))
+        if not deep:
+            if len(self.dead) > CACHE:
+                self.dead.clear()
+            self.dead.add(begin)
         return best
 
 
@@ -174,6 +203,7 @@ DEFAULT = np.array([-4.0, 2.0, 4.0, 1.0, 0.3])
 class Model:
     stems: list[str]
     weights: np.ndarray
+    known: list[str] = field(default_factory=list)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(inputs(x) @ self.weights, -30, 30)))
@@ -251,22 +281,46 @@ def learn_stems(rows: DataFrame) -> list[str]:
     return stems
 
 
+def learn_known(rows: DataFrame, stems: list[str]) -> list[str]:
+    """Words near a stem that toxic texts have no more often than others: neighbours by chance, such as 'oron' of 'moron'."""
+    total = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return []
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, of, edits = Lexicon(stems, free=True), (Counter(), Counter()), {}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = {run if run.isalpha() else run.translate(LOOKALIKES) for run in set(_RUN.findall((text or "").lower()))}
+                for w in words:
+                    if w not in edits:
+                        edits[w] = len(w) >= SHORTEST and lexicon.match(w) > 0
+                of[label > 0].update(w for w in words if edits[w])
+        names = list(of[0].keys() | of[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([of[1][s] for s in names], pa.int64()), pa.array([of[0][s] for s in names], pa.int64())], ["s", "bad", "good"])
+
+    counted = rows.mapInArrow(near, "s string, bad long, good long").groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # Bounded, as the sample is.
+    return sorted(r["s"] for r in counted.where((F.col("good") > 0) & (F.col("good") * PURITY > F.col("bad") * (total[False] / total[True]))).collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from at most ``sample`` labelled rows that are not held out."""
     rows = training_rows(docs, labels, sample, id_col, text_col)
     stems = sorted({*learn_stems(rows), *INSULTS})
-    seen = rows.mapInArrow(_features(stems, 1, ["label"]), "label int, " + ", ".join(f"{c} long" for c in FEATURES)).toPandas()
+    known = learn_known(rows, stems)
+    seen = rows.mapInArrow(_features(stems, 1, ["label"], known=known), "label int, " + ", ".join(f"{c} long" for c in FEATURES)).toPandas()
     if seen["label"].nunique() < 2:
-        return Model(stems, DEFAULT)
+        return Model(stems, DEFAULT, known)
     seen = seen.sort_values(list(seen.columns))
-    return Model(stems, regress(seen[list(FEATURES)].to_numpy(), (seen["label"] > 0).to_numpy().astype(float)))
+    return Model(stems, regress(seen[list(FEATURES)].to_numpy(), (seen["label"] > 0).to_numpy().astype(float)), known)
 
 
-def _features(stems: list[str], keep: int, names: list[str], weights: np.ndarray | None = None):
+def _features(stems: list[str], keep: int, names: list[str], weights: np.ndarray | None = None, known: list[str] = ()):
     """A function for mapInArrow: the first ``keep`` columns, the features of the text after them, and the score where there are weights."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Hits(Lexicon(stems))
+        found = Hits(Lexicon(stems, known, free=True))
         for batch in batches:
             x = np.array([hits(t.as_py(), found) for t in batch.column(keep)], np.int64).reshape(-1, len(FEATURES))
             more = [] if weights is None else [pa.array(Model(stems, weights).score(x))]
@@ -285,16 +339,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     rows = with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col))
     schema = f"id {kind}, _r_file long, _r_row long, " + ", ".join(f"{c} long" for c in FEATURES) + ", score double"
-    return rows.mapInArrow(_features(model.stems, 3, ["id", "_r_file", "_r_row"], model.weights), schema)
+    return rows.mapInArrow(_features(model.stems, 3, ["id", "_r_file", "_r_row"], model.weights, model.known), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay. Texts are scored where they lie, so nothing is shuffled."""
     model = fit(docs, labels, sample, id_col, text_col)
-    stems, weights = model.stems, model.weights
+    stems, weights, known = model.stems, model.weights, model.known
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Hits(Lexicon(stems))
+        found = Hits(Lexicon(stems, known, free=True))
         for batch in batches:
             x = np.array([hits(t.as_py(), found) for t in batch.column(text_col)], np.int64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(Model(stems, weights).score(x) < threshold))
