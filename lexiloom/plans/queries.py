@@ -23,6 +23,10 @@ LATIN, CYRILLIC = "aeopcxyABEKMHOPCTX", "аеорсхуАВЕКМНОРСТХ"
 WIDE = {chr(c): chr(c + 0xFEE0) for c in range(0x21, 0x7F)}
 
 
+#: Rows whose incoming names are changed.
+SOME_PARTS, SOME_CUSTOMERS = "p_brand < 'Brand#3'", "c_mktsegment = 'BUILDING'"
+
+
 def _replace_sql(x: str, pairs) -> str:
     for a, b in pairs:
         x = f"replace({x}, {_q(a)}, {_q(b)})"
@@ -81,6 +85,34 @@ def _semi(anti: bool):
     return run
 
 
+def _changed(c: str, where: str) -> Column:
+    """Names, some of them changed so that they look like no other, in Cyrillic letters that look alike."""
+    return F.translate(F.when(F.expr(where), F.concat(c, F.lit(" new"))).otherwise(F.col(c)), LATIN, CYRILLIC)
+
+
+def _spoofs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``spoof_join`` against all names of the part table."""
+    part = _table("part")(spark, d)
+    return ops.spoof_join(part.select("p_partkey", _changed("p_name", SOME_PARTS).alias("incoming")), part, "incoming", "p_name").select("p_partkey", "hit", "verdict")
+
+
+def _semi_whole(anti: bool):
+    """``taken`` and ``registrable`` against all names of the customer table."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        names = _table("customer")(spark, d)
+        return (ops.registrable if anti else ops.taken)(names.select("c_custkey", _changed("c_name", SOME_CUSTOMERS).alias("wanted")), names, "wanted", "c_name").select("c_custkey")
+
+    return run
+
+
+def _match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``match_join`` of all customers."""
+    names = _table("customer")(spark, d)
+    other = names.select(F.col("c_custkey").alias("other"), F.translate(F.lower("c_name"), LATIN, CYRILLIC).alias("b"))
+    return ops.match_join(names.select("c_custkey", F.upper("c_name").alias("a")), other, "a", "b").select("c_custkey", "other")
+
+
 def _utf16(spark: SparkSession, d: str) -> DataFrame:
     units = _docs(spark, d).select("doc_id", X.match_key_utf16("text").alias("u"))
     return units.select("doc_id", F.size("u").cast("long").alias("n_units"), F.md5(X.utf16_to_text("u")).alias("key_md5"))
@@ -113,10 +145,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_join": lambda s, d: ops.match_join(
         _table("nation")(s, d).select("n_nationkey", F.upper("n_name").alias("a")), _table("nation")(s, d).select(F.col("n_nationkey").alias("other"), F.translate(F.lower("n_name"), LATIN, CYRILLIC).alias("b")), "a", "b"
     ).select("n_nationkey", "other"),
+    "spoof_join_whole": _spoofs_whole,
+    "taken_whole": _semi_whole(False),
+    "registrable_whole": _semi_whole(True),
+    "match_join_whole": _match_whole,
     "search": lambda s, d: ops.search(ops.with_match_key(_table("part")(s, d), "p_brand"), "BRAND#12").select("p_partkey"),
     "changed_lines": lambda s, d: ops.changed_lines(_table("conversations")(s, d), "text", "NFD").groupBy("role").agg(F.count_if("was_normalized").alias("already"), F.sum(F.length("normalized")).alias("n_chars")),
 }
 
+_LOOKS_WANTED = "EXISTS (SELECT 1 FROM customer n WHERE {0} = {1})".format(_replace_sql("n.c_name", LOOKS), _replace_sql(f"(CASE WHEN c.{SOME_CUSTOMERS} THEN c.c_name || ' new' ELSE c.c_name END)", LOOKS))
 _HAS = f"regexp_matches(text, '[{LETTERS}]')"
 ORACLES: dict[str, str] = {
     "audit_nfd_rollup": f"SELECT lang, source, count(*) AS processed, count(*) FILTER (NOT {_HAS}) AS already, count(*) FILTER ({_HAS}) AS changed FROM documents GROUP BY ROLLUP (lang, source)",
@@ -146,6 +183,15 @@ FROM part p""",
     "taken": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM customer n WHERE n.c_nationkey < 10 AND {0} = {1})".format(_replace_sql("n.c_name", LOOKS), _replace_sql("c.c_name", LOOKS)),
     "registrable": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM customer n WHERE n.c_nationkey < 10 AND {0} = {1})".format(_replace_sql("n.c_name", LOOKS), _replace_sql("c.c_name", LOOKS)),
     "match_join": "SELECT a.n_nationkey, b.n_nationkey AS other FROM nation a JOIN nation b ON lower(a.n_name) = lower(b.n_name)",
+    "spoof_join_whole": f"""
+WITH p AS (SELECT p_partkey, CASE WHEN {SOME_PARTS} THEN p_name || ' new' ELSE p_name END AS latin FROM part),
+  i AS (SELECT p_partkey, {_replace_sql("latin", LOOKS)} AS k, translate(latin, '{LATIN}', '{CYRILLIC}') AS incoming FROM p),
+  t AS (SELECT {_replace_sql("p_name", LOOKS)} AS k, min(p_name) AS looks FROM part GROUP BY 1),
+  h AS (SELECT p_partkey, incoming, CASE WHEN incoming IN (SELECT p_name FROM part) THEN incoming ELSE looks END AS hit FROM i LEFT JOIN t USING (k))
+SELECT p_partkey, hit, CASE WHEN hit IS NULL THEN 'safe' WHEN hit = incoming THEN 'exact' ELSE 'spoof' END AS verdict FROM h""",
+    "taken_whole": f"SELECT c_custkey FROM customer c WHERE {_LOOKS_WANTED}",
+    "registrable_whole": f"SELECT c_custkey FROM customer c WHERE NOT {_LOOKS_WANTED}",
+    "match_join_whole": "SELECT a.c_custkey, b.c_custkey AS other FROM customer a JOIN customer b ON lower(a.c_name) = lower(b.c_name)",
     "search": "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#12'",
     "changed_lines": f"SELECT role, count(*) FILTER (NOT {_HAS}) AS already, CAST(sum(length({SQL_NFD})) AS BIGINT) AS n_chars FROM conversations GROUP BY role",
 }
