@@ -36,42 +36,48 @@ HEX_PATTERN = r"[0-9a-f]{24,}"
 #: 32 to 88 characters of base64 with a digit and letters of both cases.
 SECRET_PATTERN = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
 IDENT_PATTERN = r"(?:ASIA[A-Z0-9]{16,}|(?i:client_?id|access_?key_?id|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,})"
-ENDPOINT_PATTERN = r"(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
+#: A host name has 253 characters at most and starts where its run of host characters does, so a long run is looked at once.
+ENDPOINT_PATTERN = r"(?:(?:https?|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]++|(?<![a-z0-9.-])[a-z0-9-][a-z0-9.-]{0,238}?\.amazonaws\.com(?![a-z0-9-]))"
 WEAK_HINT = r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|(?i:client_?id|access_?key_?id|user(?:name)?|login)[\"']?\x20*[:=]"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Lengths that are summed up at once. An array grows by copies, so n sums cost n * BLOCK + (n / BLOCK)^2 / 2 of them.
+BLOCK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, which an expression used inside a lambda would not be."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(lengths: Column, first: Column) -> Column:
+    """For each of an array of integers, ``first`` and the sum of those before it."""
+    grown = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    return F.aggregate(lengths, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), grown, lambda acc: acc["out"])
+
+
+def before(lengths: Column) -> Column:
+    """For each of an array of integers the sum of those before it: sums of blocks first, then within each block."""
+    total = lambda own: F.aggregate(own, F.lit(0), lambda n, x: n + x)
+    numbers = lambda all_: F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / BLOCK).cast("int"))
+    cut = _let(lengths, lambda all_: F.transform(numbers(all_), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK))))
+    return _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, _before(F.transform(blocks, total), F.lit(0)), _before)))
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the leftmost matches of ``pattern`` that do not overlap, counted in code points.
 
-    The pieces between matches and the matches themselves give the places, so
-    all is one pass of Java's matcher each; ``keep`` filters matches by their text.
+    The pieces between matches and the matches themselves give the lengths, one pass
+    of Java's matcher each, and sums of lengths the places; ``keep`` filters matches by their text.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(SPAN)
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull() & (keep(x["hit"]) if keep else F.lit(True)),
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        (acc["at"] + F.char_length(x["gap"])).alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"),
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.struct(F.char_length(h).alias("n"), (keep(h) if keep else F.lit(True)).alias("kept")))
+    # The last gap has no match behind it.
+    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.coalesce(h["n"], F.lit(0)).alias("hit"), F.coalesce(h["kept"], F.lit(False)).alias("kept")))
+    span = lambda x, at: F.when(x["kept"], F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["hit"]).alias("end")))
+    found = _let(pairs, lambda all_: F.array_compact(F.zip_with(all_, before(F.transform(all_, lambda x: x["gap"] + x["hit"])), span)))
+    return F.when(text.rlike(pattern), found.cast(SPAN)).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,13 +115,24 @@ def near(left: DataFrame, right: DataFrame, scope: int = SCOPE) -> DataFrame:
     return left.join(blocks, on, "left_semi").drop("block")
 
 
+def apart(spans: DataFrame, others: DataFrame, block: int = SCOPE) -> DataFrame:
+    """Rows of ``spans`` that overlap none of ``others`` in the same text: both are copied to the blocks that they meet."""
+    key = ["_r_file", "_r_row"]
+    dealt = lambda df: df.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    right = dealt(others).select(*key, "block", F.col("start").alias("low"), F.col("end").alias("high"))
+    left = dealt(spans)
+    on = [left[c] == right[c] for c in (*key, "block")] + [left["start"] < right["high"], right["low"] < left["end"]]
+    hit = left.join(right, on, "left_semi").select(*key, "kind", "start").distinct()
+    return spans.join(hit, [*key, "kind", "start"], "left_anti")
+
+
 def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts of staged ``scan`` rows that meet their complements: _r_file, _r_row, linked (spans)."""
     key = ["_r_file", "_r_row"]
     some = scanned.where(F.size("weak") > 0)
     strong = some.select(*key, F.inline("base"))
-    # A weak part inside a strong span says nothing new.
-    weak = some.select(*key, F.inline(F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))))
+    # A weak part that overlaps a strong span says nothing new.
+    weak = stage(apart(some.select(*key, F.inline("weak")), strong).select(*key, "start", "kind", "end"), "weak-parts")
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     idents = of(strong, ACCESS).unionByName(of(weak, IDENT))
     secrets = of(strong, ASSIGN, HEX).unionByName(of(weak, SECRET))
