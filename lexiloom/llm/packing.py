@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -67,24 +68,60 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to ids under a tokenizer file, special tokens neither added nor read."""
-    if ranks := ranks_of(path):
-        import tiktoken
+#: Texts with a run of this many bytes without ASCII white space, or so many white-space characters, go to the file's own
+#: library: the second one takes quadratic time for long words, and its pattern matcher overflows its stack on a million blanks.
+LONG = 1_000
+#: Characters of a text that are encoded at once, where it has a place to be cut.
+CHUNK = 1 << 20
+_BLANKS = re.compile(rf"\s{{{LONG}}}")
+#: A blank between two letters: the text before it ends a word, and the blank begins the next, whatever else the text holds.
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+def long_runs(text: str) -> bool:
+    """Whether the text has a run that the second library must not see; never misses one, as its classes lie within these."""
+    if len(text) < LONG:
+        return False
+    if max(map(len, text.encode("utf-8", "surrogatepass").split()), default=0) > LONG:
+        return True
+    words = text.split()
+    return len(text) - sum(map(len, words)) - len(words) >= LONG - 2 and _BLANKS.search(text) is not None
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The text in parts whose ids, one after another, are its own. A part without a blank between letters stays whole."""
+    at = 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def encoder(path: str) -> Callable[[str], Iterator[list[int]]]:
+    """Text to lists of ids under a tokenizer file, special tokens neither added nor read.
+
+    Texts of any length and with runs of any length have the file's own ids.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    own = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    ranks = ranks_of(path)
+    if ranks is None:
+        return lambda text: iter([own(text)])
+    import tiktoken
+
+    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: (own(part) if long_runs(part) else fast(part) for part in chunks(text))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece of each document's ids and end id: id, row key, piece, start, length, ids_crc32 (and ids).
 
     Only documents longer than ``length`` are cut, so that all pieces but the
-    first are full. Null and empty texts are the end id alone.
+    first are full. Null and empty texts are the end id alone. Texts and runs of
+    one character of any length are encoded whole.
     """
     path = tokenizer or default_tokenizer()
 
@@ -95,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE
             for batch in (whole.slice(k, 256) for k in range(0, len(whole), 256)):
                 rows: list[tuple] = []
                 for i, text in enumerate(batch.column(3)):
-                    ids = np.array([*encode(text.as_py()), end_id], "<u4").tobytes()
+                    ids = b"".join(np.array(x, "<u4").tobytes() for x in (*encode(text.as_py()), [end_id]))
                     n = len(ids) // 4
                     cuts = [0, *range(n % length or min(n, length), n, length), n]
                     rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), ids[4 * a : 4 * b] if keep_ids else None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

@@ -1,7 +1,11 @@
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lexiloom.llm import mixing, packing
@@ -98,3 +102,37 @@ def test_rows_of_the_mix(docs, rows):
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns and all(r._r_file in ("x", None) for r in out.collect())
     assert out.count() == mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+OWN = Tokenizer.from_file(PATH)
+OWN.encode_special_tokens = True
+ENCODE = packing.encoder(PATH)
+ids = lambda text: [k for part in ENCODE(text) for k in part]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", "\u3000 ", "7"])
+def test_long_runs(unit):
+    """Five million characters of one kind: no crash, seconds, and the file's ids, alone and within a text."""
+    run = unit * (5_000_000 // len(unit))
+    assert packing.long_runs(run)
+    began = time.monotonic()
+    got = ids(run)
+    assert time.monotonic() - began < 60 and got == OWN.encode(run, add_special_tokens=False).ids
+    text = "some words here " * 100 + unit * 3000 + " and there's more " * 100
+    assert ids(text) == OWN.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "ab", "é", "日", "!", "7", "\x1c", "\u3000", "a b ", "'s ", "\x85", " \t"]), st.integers(1, 1200)), max_size=5))
+def test_ids_of_any_mixture(parts):
+    text = "".join(unit * n for unit, n in parts)
+    assert ids(text) == OWN.encode(text, add_special_tokens=False).ids
+
+
+def test_cuts_keep_ids():
+    text = "It's a blank, two  blanks, 3 digits and\nlines éà ça <|endoftext|> x_y " * 40
+    for size in (1, 7, 50, 1000):
+        parts = list(packing.chunks(text, size))
+        assert "".join(parts) == text and len(parts) > 1
+        assert [k for p in parts for k in OWN.encode(p, add_special_tokens=False).ids] == OWN.encode(text, add_special_tokens=False).ids
