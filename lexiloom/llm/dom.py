@@ -7,8 +7,8 @@ import re
 
 # Names of HTML elements by what the reader does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe svg textarea title select noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 #: An opening tag ends an open element of these names, up to the nearest of the containers.
 ENDS = {
@@ -20,6 +20,8 @@ P_SCOPE = frozenset("table td th caption html button object".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Tags whose quotation marks have no fellow, after which marks of a page are trusted no more: each costs a look at all that follows.
+UNPAIRED = 8
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -53,17 +55,17 @@ class Page:
             self.flow.append((at, entities.unescape(text) if "&" in text else text))
 
     def _read(self, s: str) -> None:
-        stack, at, n = [0], 0, len(s)
-        pattern = _TAG
+        """One pass: each open element is found by its name, so a page costs time in proportion to its length, however it nests."""
+        open_, at, n, unpaired = _Open(), 0, len(s), 0
         while at < n:
             lt = s.find("<", at)
             if lt < 0:
-                self._text(stack[-1], s[at:])
+                self._text(open_.top, s[at:])
                 return
-            self._text(stack[-1], s[at:lt])
+            self._text(open_.top, s[at:lt])
             after = s[lt + 1 : lt + 2]
             if not (after.isascii() and (after.isalpha() or after in "/!?")) or not after:
-                self._text(stack[-1], "<")
+                self._text(open_.top, "<")
                 at = lt + 1
                 continue
             if after in "!?":
@@ -72,11 +74,10 @@ class Page:
                     return  # a comment that does not end
                 at = end + 1
                 continue
-            m = pattern.match(s, lt)
-            if m is None and pattern is _TAG:
-                m = _LOOSE.match(s, lt)
-                if m:
-                    pattern = _LOOSE  # a quotation mark without its fellow: look for it no more
+            m = _TAG.match(s, lt) if unpaired < UNPAIRED else None
+            if m is None:
+                m = _LOOSE.match(s, lt)  # a quotation mark without its fellow ends with this tag
+                unpaired += m is not None
             if m is None:
                 end = s.find(">", lt)
                 if end < 0:
@@ -85,41 +86,72 @@ class Page:
                 continue
             at, tag = m.end(), m[2].lower()
             if m[1]:
-                self._close(stack, tag)
+                if (k := open_.to_close(tag)) is not None:
+                    self._end(open_, k, tag not in INLINE)
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at) if not m[3].endswith("/") else None
                 at = end.end() if end else (at if m[3].endswith("/") else n)
                 continue
             if tag in CLOSES_P:
-                self._end(stack, {"p"}, P_SCOPE)
+                self._end(open_, open_.nearest(("p",), P_SCOPE))
             if tag in ENDS:
-                self._end(stack, *ENDS[tag])
+                self._end(open_, open_.nearest(*ENDS[tag]))
             block = tag not in INLINE
             if block:
-                self.flow.append((stack[-1], None))
-            node = self._open(tag, m[3], stack[-1])
+                self.flow.append((open_.top, None))
+            node = self._open(tag, m[3], open_.top)
             if tag not in VOID and not (m[3].endswith("/") and not block):
-                stack.append(node)
+                open_.push(node, tag)
             elif block:
-                self.flow.append((stack[-1], None))
-
-    def _end(self, stack: list[int], names: set[str], stop) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                self.flow.append((stack[-1], None))
-                del stack[k:]
-                return
-            if tag in stop:
-                return
+                self.flow.append((open_.top, None))
 
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                if tag not in INLINE:
-                    self.flow.append((stack[-1], None))
-                del stack[k:]
-                return
-            if tag in INLINE and self.tag[stack[k]] not in INLINE:
-                return
+    def _end(self, open_: _Open, k: int | None, block: bool = True) -> None:
+        if k is not None:
+            if block:
+                self.flow.append((open_.top, None))
+            open_.cut(k)
+
+
+class _Open:
+    """The open elements, from the root up, and for each name the places of its elements there."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    @property
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, node: int, tag: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all within it."""
+        while len(self.nodes) > k:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((x[-1] for name in names if (x := self.places.get(name))), default=0)
+
+    def nearest(self, names, stop) -> int | None:
+        """The place of the innermost of ``names`` that no open element of ``stop`` holds apart."""
+        k = self.last(names)
+        return k if k and k > self.last(stop) else None
+
+    def to_close(self, tag: str) -> int | None:
+        """The place that an end tag closes; one of an inline element closes nothing beyond its block."""
+        k = self.last((tag,))
+        return k if k and (tag not in INLINE or k > self.blocks[-1]) else None

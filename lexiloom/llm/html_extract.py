@@ -30,6 +30,8 @@ from .dom import INLINE, Page
 #: Generated pages that the classifier is trained on.
 TRAINING_PAGES = 400
 SEED = 3
+#: What a border in the tree has to pay: from outside to main text, and from main text to what is cut from it.
+SWITCH, CUTTING = 2.0, 12.0
 #: Elements scored at once.
 NODES = 1 << 16
 
@@ -107,26 +109,25 @@ def decode(page: Page, margin: np.ndarray, own: np.ndarray) -> np.ndarray:
     score = np.clip(margin, -6, 6) * weight
     # best[i]: total below i if i is outside, main, cut. Choosing main for text gains its score, otherwise loses it.
     outside, main, cut = (-score).tolist(), score.tolist(), (-score).tolist()
-    switch, cutting = 2.0, 12.0  # a border in the tree has to pay, most of all one within main text
     for i in range(n - 1, 0, -1):
         p = parent[i]
         if page.tag[i] in INLINE:
             outside[p] += outside[i]
             main[p] += main[i]
         else:
-            outside[p] += max(outside[i], main[i] - switch)
-            main[p] += max(main[i], cut[i] - cutting)
+            outside[p] += max(outside[i], main[i] - SWITCH)
+            main[p] += max(main[i], cut[i] - CUTTING)
         cut[p] += cut[i]
     state = np.zeros(n, np.int8)
-    state[0] = 0 if outside[0] >= main[0] - switch else 1
+    state[0] = 0 if outside[0] >= main[0] - SWITCH else 1
     for i in range(1, n):
         s = state[parent[i]]
         if s == 2 or page.tag[i] in INLINE:
             state[i] = s
         elif s == 1:
-            state[i] = 1 if main[i] >= cut[i] - cutting else 2
+            state[i] = 1 if main[i] >= cut[i] - CUTTING else 2
         else:
-            state[i] = 0 if outside[i] >= main[i] - switch else 1
+            state[i] = 0 if outside[i] >= main[i] - SWITCH else 1
     return state == 1
 
 
@@ -314,38 +315,31 @@ def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
     return train(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 
-def main_texts(pages: DataFrame, model: Boosted | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def main_texts(pages: DataFrame, model: Boosted | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``pages`` with its main text.
 
-    Columns: id, _r_file, _r_row, text. Null and empty pages have empty text;
-    null ids stay null; repeated rows are read each for itself; other columns are
-    ignored; an empty table gives no rows. Whole pages are read, however long.
+    Columns: id, _r_file, _r_row, text, and the columns ``keep`` of ``pages`` in
+    front, by their own names. Null and empty pages have empty text; null ids
+    stay null; repeated rows are read each for itself; other columns are ignored;
+    an empty table gives no rows. Whole pages are read, however long or deeply nested.
     """
     model = model or trained()
+    names = [*keep, "id", "_r_file", "_r_row", "text"]
+    kinds = dict(pages.dtypes)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 128) for k in range(0, len(whole), 128)):
-                texts = extract_all(batch.column(3).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["id", "_r_file", "_r_row", "text"])
+                texts = extract_all(batch.column(len(names) - 1).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
 
-    kind = dict(pages.dtypes)[id_col]
-    return with_row_key(pages).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(html_col)).mapInArrow(make, f"id {kind}, _r_file long, _r_row long, text string")
+    rows = with_row_key(pages).select(*keep, F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(html_col).alias("text"))
+    return rows.mapInArrow(make, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"id {kinds[id_col]}, _r_file long, _r_row long, text string"]))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    kind = dict(pages.dtypes)["page_id"]
-    model = trained()
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(k, 128) for k in range(0, len(whole), 128)):
-                texts = extract_all(batch.column(2).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    found = pages.select("page_id", "url", "html").mapInArrow(make, f"page_id {kind}, url string, text string")
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    found = main_texts(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 QUERIES = {"op7_html": op7_html}

@@ -1,14 +1,18 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
+import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexiloom.llm import html_extract as H
 from lexiloom.llm import warc
-from lexiloom.llm.dom import Page
+from lexiloom.llm.dom import INLINE, Page
 
 PAGES = [
     (1, "http://www.a.org/x#f", "<p>one</p>"), (2, "https://b.org:80/y", "<p>two</p>"), (3, None, "<p>one</p>"), (4, "http://a.org/", None), (5, "http://a.org/\r\nEvil: 1", ""),
@@ -87,3 +91,52 @@ def test_page_table(spark, tmp_path):
     got = H.op7_html(spark, str(tmp_path)).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert H.main_texts(spark.read.parquet(str(tmp_path / "pages.parquet")).limit(0)).count() == 0
+
+
+def test_quotation_marks_cost_one_tag():
+    page = Page("""<div><p x=">one</p><p title='a>b'>two</p><p title='c>d'>three</p></div>""")
+    assert [t for _, t in page.flow if t] == ["one", "two", "three"]
+    assert texts(Page("<p>x <math><mi>y</mi></math> z<object><p>w</p></object>")) == "x y z w"
+
+
+@pytest.mark.parametrize("s", ["<div>" * 1_000_000, "<p><button>" + "<div>" * 1_000_000, "</div>" * 1_000_000, "<b></i>" * 500_000, "<li>" * 1_000_000, "<a '>' " * 500_000, "<p x='" * 500_000])
+def test_reader_is_linear(s):
+    began = time.monotonic()
+    Page(s)
+    assert time.monotonic() - began < 30
+
+
+def test_deep_page_as_a_whole():
+    deep = "<div>" * 100_000 + "<article><p>" + "Words of the article, and more of them. " * 30 + "</p></article>"
+    began = time.monotonic()
+    H.extract_all([deep], H.trained())
+    assert time.monotonic() - began < 60
+
+
+def total(page, main, margin, own):
+    """What a labelling is worth, None if it contradicts itself."""
+    worth = 0.0 if not main[0] else -H.SWITCH
+    for i in range(len(page.tag)):
+        score = np.clip(margin[i], -6, 6) * np.sqrt(own[i])
+        worth += score if main[i] else -score
+        if i and main[i] != main[p := page.parent[i]]:
+            if page.tag[i] in INLINE:
+                return None
+            if main[i]:
+                while p >= 0:  # main text below what is cut from main text
+                    if main[p]:
+                        return None
+                    p = page.parent[p]
+            worth -= H.SWITCH if main[i] else H.CUTTING
+    return worth
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["<div>", "<p>", "<b>", "</div>", "</b>", "<section>"]), st.floats(-8, 8), st.integers(0, 400)), max_size=8))
+def test_decode_against_all_labellings(parts):
+    page = Page("".join(tag for tag, _, _ in parts))
+    n = len(page.tag)
+    margin, own = (np.array([*(x[k] for x in parts), *[0.0] * n][:n], float) for k in (1, 2))
+    worths = [w for main in itertools.product([False, True], repeat=n) if (w := total(page, main, margin, own)) is not None]
+    got = total(page, H.decode(page, margin, own), margin, own)
+    assert got is not None and abs(got - max(worths)) < 1e-6
