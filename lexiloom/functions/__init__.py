@@ -1,5 +1,6 @@
 """Column functions for Unicode text; see ``lexiloom.functions.text``."""
 
+from .sql import register
 from .text import (
     are_confusable,
     casefold,
@@ -18,7 +19,6 @@ from .text import (
     normalize,
     normalize_to,
     quick_check,
-    register,
     skeleton,
     utf16_to_text,
 )

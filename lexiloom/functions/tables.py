@@ -147,8 +147,15 @@ def _build(spark: SparkSession) -> Tables:
 
 
 def frames(spark: SparkSession) -> dict[str, DataFrame]:
-    """The property data as DataFrames keyed by code point."""
+    """The property data as DataFrames keyed by code point.
+
+    ``confusable`` has the prototypes of characters in decomposed text, and the skeletons of those that
+    decompose to one other character. Others that decompose have none of their own: their parts have.
+    """
+    from .reference import skeleton
+
     t = tables(spark)
+    single = {c: skeleton(d, t) for c, d in t.canonical.items() if len(d) == 1}
     points = lambda d: [(c, list(map(ord, s))) for c, s in sorted(d.items())]
     return {
         "decomp_canonical": spark.createDataFrame(points(t.canonical), "cp int, mapping array<int>"),
@@ -157,7 +164,7 @@ def frames(spark: SparkSession) -> dict[str, DataFrame]:
         "composition": spark.createDataFrame(sorted((ord(a), ord(b), ord(c)) for (a, b), c in t.pairs.items()), "first int, second int, composed int"),
         "casefold_simple": spark.createDataFrame(sorted(folds().items()), "cp int, folded int"),
         "casefold_turkish": spark.createDataFrame(sorted(TURKISH_FOLDS.items()), "cp int, folded int"),
-        "confusable": spark.createDataFrame(points(t.prototypes), "cp int, mapping array<int>"),
+        "confusable": spark.createDataFrame(points(single | t.prototypes), "cp int, mapping array<int>"),
     }
 
 

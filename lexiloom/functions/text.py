@@ -1,9 +1,10 @@
 """Unicode normalisation, case folding, confusable skeletons and matching keys as Column functions.
 
 Null gives null, the empty text gives itself. Forms run in the JVM (ICU, called
-from Catalyst), folding is ``translate``. Skeletons and matching keys of ASCII
-texts are built-in expressions; other texts go to Python in Arrow batches, and
-rows that need not go are sent as nulls.
+from Catalyst), folding is ``translate``. Skeletons and matching keys are a form,
+``translate`` and a few replacements, in the JVM too, for texts whose characters have prototypes of one
+character (see ``confusables``). The others go to Python in Arrow batches, and
+rows that need not go are sent as nulls. ``lexiloom.functions.sql`` has the same for SQL.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .confusables import KEY_REPLACED, MARKS, REPLACED, Plan, key_plan, skeleton_plan
 from .reference import FORMS, NO, YES
-from .reference import casefold as _casefold
 from .reference import match_key as _match_key
-from .reference import normalize as _normalize
 from .reference import quick_check as _quick_check
 from .reference import skeleton as _skeleton
-from .tables import ASCII, ICU_LACKS, NEW_COMPAT, STAND_INS, TURKISH_FOLDS, folds, ranges, tables
+from .tables import ICU_LACKS, NEW_COMPAT, STAND_INS, TURKISH_FOLDS, folds, ranges, tables
 
 MODES = ("standard", "turkish")
 
@@ -61,6 +61,15 @@ def _class(*parts: str) -> str:
     return "[" + "".join("-".join(rf"\x{{{x}}}" for x in p.split("-")) for part in parts for p in part.split()) + "]"
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether the text has a byte for each character; much cheaper than a pattern."""
+    return F.octet_length(c) == F.char_length(c)
+
+
+#: All characters lie below the first that ICU does not know.
+KNOWN = r"^[\x{0}-\x{1ACE}]*$"
+
+
 def normalize(c: Column | str, form: str) -> Column:
     """The text in NFC, NFD, NFKC or NFKD of Unicode 17.
 
@@ -83,8 +92,8 @@ def normalize(c: Column | str, form: str) -> Column:
 
     first, second = STAND_INS
     return (
-        F.when(c.rlike(ASCII), c)
-        .when(~c.rlike(_class(*ICU_LACKS.values())), _icu(c, method, compat))
+        F.when(is_ascii(c), c)
+        .when(c.rlike(KNOWN) | ~c.rlike(_class(*ICU_LACKS.values())), _icu(c, method, compat))
         .when(~c.rlike(_class(*first.values())), through(first))
         .when(~c.rlike(_class(*second.values())), through(second))
         .otherwise(_icu(c, method, compat))
@@ -193,14 +202,35 @@ def _folds(mode: str) -> dict[int, int]:
     return folds() if mode == "standard" else folds() | TURKISH_FOLDS
 
 
+def _replaced(c: Column, pairs: dict[str, str]) -> Column:
+    for a, b in pairs.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _mapped(c: Column, table: dict[int, str]) -> Column:
+    return F.translate(c, "".join(map(chr, table)), "".join(table.values()))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _far(c: Column, plan: Plan) -> Column:
+    """Whether the tables are not enough for a text."""
+    return ~c.rlike(plan.plain) & (c.rlike(MARKS) | (F.translate(c, plan.others, "") != c))
+
+
 def skeleton(c: Column | str) -> Column:
     """The confusable skeleton of UTS #39, iterated to a fixed point; case counts."""
     c = _col(c)
-    ascii_ = c.rlike(ASCII)
-    easy = F.translate(c, "01I|`", "Olll'")
-    for a, b in (("m", "rn"), ('"', "''"), ("%", "º/₀")):
-        easy = F.replace(easy, F.lit(a), F.lit(b))
-    return F.when(ascii_, easy).otherwise(_python(_skeleton, by_word=True)(F.when(~ascii_, c)))
+    plan = skeleton_plan(tables(_spark()))
+    ascii_ = is_ascii(c)
+    easy = _replaced(F.translate(c, "01I|`", "Olll'"), REPLACED)
+    far = ~ascii_ & _far(c, plan)
+    slow = _python(_skeleton, by_word=True)(F.when(far, c))
+    return F.when(ascii_, easy).when(slow.isNotNull(), slow).otherwise(_replaced(_mapped(normalize(c, "NFD"), plan.table), REPLACED))
 
 
 def are_confusable(a: Column | str, b: Column | str) -> Column:
@@ -210,15 +240,16 @@ def are_confusable(a: Column | str, b: Column | str) -> Column:
 def match_key(c: Column | str, mode: str = "standard") -> Column:
     """The matching key: NFKC, fold, skeleton and fold to a fixed point."""
     c = _col(c)
-    _folds(mode)
-    ascii_ = c.rlike(ASCII)
-    easy = F.translate(F.lower(c), "01|`", "oll'")
-    for a, b in (("m", "rn"), ('"', "''"), ("%", "o/o")):
-        easy = F.replace(easy, F.lit(a), F.lit(b))
+    folded = {k: chr(v) for k, v in _folds(mode).items()}
+    plan = key_plan(tables(_spark()), mode)
+    ascii_ = is_ascii(c)
+    easy = _replaced(F.translate(F.lower(c), "01|`", "oll'"), KEY_REPLACED)
     if mode == "turkish":  # I folds to dotless i, which looks like i
-        easy = F.when(F.contains(c, F.lit("I")), F.lit(None)).otherwise(easy)
         ascii_ = ascii_ & ~F.contains(c, F.lit("I"))
-    return F.when(ascii_, easy).otherwise(_python(lambda x, t: _match_key(x, t, mode), by_word=True)(F.when(~ascii_, c)))
+    far = ~ascii_ & _far(c, plan)
+    slow = _python(lambda x, t: _match_key(x, t, mode), by_word=True)(F.when(far, c))
+    apart = _let(_mapped(normalize(c, "NFKC"), folded), lambda x: normalize(x, "NFD"))
+    return F.when(ascii_, easy).when(slow.isNotNull(), slow).otherwise(_replaced(_mapped(apart, plan.table), KEY_REPLACED))
 
 
 def match_key_utf16(c: Column | str, mode: str = "standard") -> Column:
@@ -236,33 +267,3 @@ def matches(a: Column | str, b: Column | str, mode: str = "standard") -> Column:
     """Whether two texts are equal or have the same matching key. Across rows, join on ``match_key`` instead."""
     a, b = _col(a), _col(b)
     return (a == b) | (match_key(a, mode) == match_key(b, mode))
-
-
-def register(spark: SparkSession, prefix: str = "") -> list[str]:
-    """Register the functions with SQL; returns their names."""
-    t = tables(spark)
-
-    def sql(name: str, returns: str, function):
-        def run(*columns: pd.Series) -> pd.Series:
-            return pd.Series([None if any(x is None for x in row) else function(*row) for row in zip(*columns, strict=True)], dtype=object)
-
-        # One signature for each number of arguments, as pandas UDFs need one.
-        n = function.__code__.co_argcount
-        spark.udf.register(f"{prefix}{name}", F.pandas_udf({1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[n], returns))
-        return f"{prefix}{name}"
-
-    return [
-        *(sql(form.lower(), "string", _bound(form, t)) for form in FORMS),
-        sql("quick_check", "string", lambda x, form: _quick_check(x, form.upper(), t)),
-        sql("is_normalized", "boolean", lambda x, form: _normalize(x, form.upper(), t) == x),
-        sql("fold_case", "string", lambda x, mode: _casefold(x, t, mode)),
-        sql("skeleton", "string", lambda x: _skeleton(x, t)),
-        sql("are_confusable", "boolean", lambda a, b: _skeleton(a, t) == _skeleton(b, t)),
-        sql("match_key", "string", lambda x: _match_key(x, t)),
-        sql("match_key_utf16", "array<int>", lambda x: [u for u in memoryview(_match_key(x, t).encode("utf-16-le")).cast("H")]),
-        sql("matches", "boolean", lambda a, b, mode: a == b or _match_key(a, t, mode) == _match_key(b, t, mode)),
-    ]
-
-
-def _bound(form: str, t):
-    return lambda x: _normalize(x, form, t)

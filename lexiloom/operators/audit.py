@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import is_normalized, normalize, normalize_to, quick_check
 from ..functions.text import FORMS
+from .names import free
 
 
 def changed_lines(df: DataFrame, text: str, form: str = "NFC") -> DataFrame:
     """``df`` with ``normalized`` and ``was_normalized``."""
-    done = normalize_to(text, form)
-    return df.withColumn("_n", done).withColumns({"normalized": F.col("_n.text"), "was_normalized": F.col("_n.was_normalized")}).drop("_n")
+    (done,) = free(df, names=("done",))
+    return df.withColumn(done, normalize_to(text, form)).withColumns({"normalized": F.col(done)["text"], "was_normalized": F.col(done)["was_normalized"]}).drop(done)
 
 
 def normalization_audit(df: DataFrame, text: str, form: str = "NFC", by: list[str | Column] = (), rollup: bool = False) -> DataFrame:
@@ -20,9 +21,10 @@ def normalization_audit(df: DataFrame, text: str, form: str = "NFC", by: list[st
 
     One pass with partial sums; ``rollup`` adds subtotals.
     """
-    flagged = df.withColumn("_was", is_normalized(text, form))
+    (was,) = free(df, names=("was",))
+    flagged = df.withColumn(was, is_normalized(text, form))
     groups = flagged.rollup(*by) if rollup else flagged.groupBy(*by)
-    return groups.agg(F.count(F.lit(1)).alias("processed"), F.count_if("_was").alias("already"), F.count_if(~F.col("_was")).alias("changed"))
+    return groups.agg(F.count(F.lit(1)).alias("processed"), F.count_if(was).alias("already"), F.count_if(~F.col(was)).alias("changed"))
 
 
 def compare_forms(df: DataFrame, text: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import match_key, normalize_to
-from ..operators import spoof_join
+from ..functions import match_key
+from ..operators import changed_lines, spoof_join
 
 
 def normalize_stream(lines: DataFrame, text: str, form: str = "NFC") -> DataFrame:
     """``lines`` with ``normalized`` and ``was_normalized``."""
-    return lines.withColumn("_n", normalize_to(text, form)).withColumns({"normalized": F.col("_n.text"), "was_normalized": F.col("_n.was_normalized")}).drop("_n")
+    return changed_lines(lines, text, form)
 
 
 def spoof_stream(incoming: DataFrame, trusted: DataFrame, text: str, trusted_text: str) -> DataFrame:
