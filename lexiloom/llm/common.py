@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local one for a session within one machine's JVM (tests); on a cluster that is an
+    error, as executors would write to folders of their own.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -50,19 +58,32 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(df: DataFrame, file: str = "_r_file", row: str = "_r_row") -> DataFrame:
+def _file_place(df: DataFrame) -> tuple[Column, Column] | None:
+    """File and place of a frame's rows; None if it was not read from files that tell. A column named ``_metadata`` does not matter."""
+    try:
+        hidden = df.metadataColumn("_metadata")
+        place = F.xxhash64(hidden.getField("file_path")), hidden.getField("row_index")
+        df.select(*place)  # analysis finds a field that the format lacks
+    except AnalysisException as e:
+        if (e.getCondition() or "").split(".")[0] not in ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND"):
+            raise
+        return None
+    return place
+
+
+def with_row_key(df: DataFrame, file: str = "_r_file", row: str = "_r_row", read: bool = False) -> DataFrame:
     """Add two longs that name a row, equal in every read of the same files.
 
     Frames that were read from files use the file and the row's place in it.
-    Others get Spark's increasing ids, which hold within one evaluation; stage
-    the result before using it in two branches.
+    Others get Spark's increasing ids, which hold within one evaluation (stage
+    the result before using it in two branches), or, with ``read``, are refused.
     """
-    try:
-        return df.withColumns({file: F.xxhash64(F.col("_metadata.file_path")), row: F.col("_metadata.row_index")})
-    except Exception as e:  # noqa: BLE001  analysis errors differ between kinds of sessions
-        if type(e).__name__ != "AnalysisException":
-            raise
-        return df.withColumns({file: F.lit(0).cast("long"), row: F.monotonically_increasing_id()})
+    place = _file_place(df)
+    if place is None:
+        if read:
+            raise ValueError("rows can be found again only in a frame that was read from files; write it and read it back")
+        place = F.lit(0).cast("long"), F.monotonically_increasing_id()
+    return df.withColumns({file: place[0], row: place[1]})
 
 
 def join_rows(docs: DataFrame, rows: DataFrame, how: str, *carry: str) -> tuple[DataFrame, list[str]]:
@@ -79,7 +100,7 @@ def join_rows(docs: DataFrame, rows: DataFrame, how: str, *carry: str) -> tuple[
         new.append(c)
     file, row, *carried = new
     rows = rows.select(F.col("_r_file").alias(file), F.col("_r_row").alias(row), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
-    return with_row_key(docs, file, row).join(rows, [file, row], how), carried
+    return with_row_key(docs, file, row, read=True).join(rows, [file, row], how), carried
 
 
 def text_of(column: str) -> Column:
