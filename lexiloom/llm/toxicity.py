@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from .common import stage, table, with_row_key
 from .quality import labelled_sample
 
-#: Labelled rows that lexicon and model may see, and word beginnings that the driver may look at.
+#: Labelled rows that lexicon and model may see. Candidates for stems lie in ``LEAST_TEXTS`` of them each at least, which bounds those too.
 SAMPLE = 20_000
-BEGINNINGS = 5_000
 SHORTEST, LONGEST = 3, 16
 #: A stem is in this many toxic texts of the sample at least, and in so many times fewer others.
 LEAST_TEXTS = 8
 PURITY = 20
+#: Near words that a stem may have by chance and still be looked for misspelled.
+FEW = 3
 THRESHOLD = 0.7
 #: Words on either side of a hit that are its context.
 WINDOW = 5
@@ -43,9 +44,13 @@ DEEP = 4
 
 # General insults, words of reporting, and characters that stand for letters.
 INSULTS = ("asshole", "bastard", "bitch", "cretin", "dumbass", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "stupid", "trash", "worthless")
-REPORTING = frozenset("say says said saying call calls called quote quotes quoted write writes wrote written word words term terms phrase insult insults reads titled cited".split())
+REPORTING = frozenset(
+    "say says said saying call calls called quote quotes quoted write writes wrote written word words term terms phrase insult insults reads titled cited "
+    "dit dire dis disait appelle appelé appelait mot mots terme termes écrit écrivait cite cité insulte insultes "
+    "sagt sagte sagen gesagt nennt nannte genannt wort worte wörter schreibt schrieb geschrieben zitat zitiert begriff beleidigung "
+    "dice dijo decir dicho llama llamó llamado palabra palabras término escribe escribió escrito cita citó insulto insultos frase".split()
+)
 LOOKALIKES = str.maketrans("0134578@$!", "oieastbasi")
-QUOTES = "\"“”„«»‹›‘’"
 
 _RUN = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,19 +74,21 @@ class Lexicon:
     """A trie of stems, searched by Levenshtein automata.
 
     ``known`` are words that look like misspelled stems but are words of their
-    own, as labelled rows show; they match to the letter only. With ``free`` an
+    own, as labelled rows show; they match to the letter only, and so do the stems ``rigid``,
+    whose neighbours are no sign of anything. With ``free`` an
     edit may be anywhere; else a word keeps its stem's first letter, and a stem that
     ends in ``*`` (seen with various endings) has to match to the letter.
     """
 
-    def __init__(self, stems, known=(), free: bool = False):
+    def __init__(self, stems, known=(), free: bool = False, rigid=()):
         self.stems, self.known, self.free = sorted(set(stems)), frozenset(known), free
         #: Beginnings of words that no automaton follows to depth ``DEEP``; its rows so far look at no other letters.
         self.dead: set[str] = set()
         self.root = Node()
+        self.longest = max((len(s.rstrip("*")) for s in self.stems), default=0)
         for s in self.stems:
             own = s.rstrip("*")
-            edits = allowed(len(own)) if free or own == s else 0
+            edits = allowed(len(own)) if (free or own == s) and s not in rigid else 0
             node, path = self.root, [self.root]
             for ch in own:
                 node = node.children.setdefault(ch, Node())
@@ -100,7 +107,7 @@ class Lexicon:
         word is at most as much longer than the stem as the stem itself is long.
         """
         best, far, full = -1, 9, len(word)
-        word = word[:40]
+        word = word[: self.longest + 3]  # beyond the longest stem and its edits, no letter changes the result
         n = len(word)
         near = word not in self.known
         begin = word[: DEEP + 2]
@@ -166,12 +173,31 @@ class Hits(dict):
 FEATURES = ("n_stems", "n_misspelled", "n_quoted", "n_all")
 
 
+_OPENING, _CLOSING = tuple("\"“„«‹»‘'"), tuple("\"”“»›«’'")
+
+
 def quoted(words: list[str], i: int) -> bool:
-    """Whether the word stands in quotation marks or beside a word of reporting."""
-    low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-    opened = any(w[:1] in QUOTES or w[:1] == "'" for w in words[low : i + 1])
-    closed = any(w.rstrip(".,;:!?")[-1:] in QUOTES or w.rstrip(".,;:!?")[-1:] == "'" for w in words[i:high])
-    return (opened and closed) or any(w.strip(".,;:!?").lower() in REPORTING for w in words[low:i])
+    """Whether a word of a pair of quotation marks, within ``WINDOW`` words on either side, that a word of reporting leads up to.
+
+    The pair has to be the word's own: an end of another quotation before it, or a beginning after it,
+    stands between.
+    """
+    bare = lambda w: w.rstrip(".,;:!?")
+    opens = None
+    for k in range(i, max(-1, i - WINDOW - 1), -1):
+        if k < i and bare(words[k]).endswith(_CLOSING):
+            return False
+        if words[k].startswith(_OPENING):
+            opens = k
+            break
+    if opens is None:
+        return False
+    for k in range(i, min(len(words), i + WINDOW + 1)):
+        if k > i and words[k].startswith(_OPENING):
+            return False
+        if bare(words[k]).endswith(_CLOSING):
+            return any(bare(w).lower() in REPORTING for w in words[max(0, opens - WINDOW) : opens])
+    return False
 
 
 def hits(text: str | None, found: Hits) -> tuple[int, int, int, int]:
@@ -204,6 +230,7 @@ class Model:
     stems: list[str]
     weights: np.ndarray
     known: list[str] = field(default_factory=list)
+    rigid: list[str] = field(default_factory=list)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(inputs(x) @ self.weights, -30, 30)))
@@ -266,26 +293,38 @@ def learn_stems(rows: DataFrame) -> list[str]:
 
     ratio = total[False] / total[True]
     counted = rows.mapInArrow(begin, "s string, bad long, good long").groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    pure = counted.where((F.col("bad") >= LEAST_TEXTS) & (F.col("good") * PURITY <= F.col("bad") * ratio)).orderBy(F.desc("bad"), "s").limit(BEGINNINGS)
-    bad = {r["s"]: r["bad"] for r in pure.collect()}
+    pure = counted.where((F.col("bad") >= LEAST_TEXTS) & (F.col("good") * PURITY <= F.col("bad") * ratio))
+    bad = {r["s"]: r["bad"] for r in pure.orderBy("s").collect()}
     whole = {s[:-1]: bad.pop(s) for s in [s for s in bad if s.endswith("$")]}
-    stems = []
+    children: dict[str, list[str]] = {}
+    for s in bad:
+        children.setdefault(s[:-1], []).append(s)
+    stems: dict[str, str] = {}
     for s in sorted(bad, key=len):
-        if s[:-1] in bad or any(s.startswith(t.rstrip("*")) for t in stems):
+        if s[:-1] in bad or any(s[:k] in stems for k in range(SHORTEST, len(s) + 1)):
             continue
-        while longer := max((t for t in bad if len(t) == len(s) + 1 and t.startswith(s)), key=bad.get, default=None):
+        while longer := max(children.get(s, ()), key=bad.get, default=None):
             if bad[longer] < 0.97 * bad[s]:
                 break
             s = longer
-        stems.append(s if whole.get(s, 0) > 0.5 * bad[s] else f"{s}*")
-    return stems
+        stems[s] = s if whole.get(s, 0) > 0.5 * bad[s] else f"{s}*"
+    return list(stems.values())
 
 
 def learn_known(rows: DataFrame, stems: list[str]) -> list[str]:
-    """Words near a stem that toxic texts have no more often than others: neighbours by chance, such as 'oron' of 'moron'."""
+    """The known words of ``learn_near``."""
+    return learn_near(rows, stems)[0]
+
+
+def learn_near(rows: DataFrame, stems: list[str]) -> tuple[list[str], list[str]]:
+    """(known, rigid): words near a stem that toxic texts have no more often than others, and stems whose near words, all together, are so.
+
+    Known words are neighbours by chance, such as 'oron' of 'moron'. A rigid stem is made of what other words are made of,
+    so that words that no labelled row has will be near it too; general insults are never so.
+    """
     total = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
-        return []
+        return [], []
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, of, edits = Lexicon(stems, free=True), (Counter(), Counter()), {}
@@ -300,27 +339,35 @@ def learn_known(rows: DataFrame, stems: list[str]) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([of[1][s] for s in names], pa.int64()), pa.array([of[0][s] for s in names], pa.int64())], ["s", "bad", "good"])
 
     counted = rows.mapInArrow(near, "s string, bad long, good long").groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # Bounded, as the sample is.
-    return sorted(r["s"] for r in counted.where((F.col("good") > 0) & (F.col("good") * PURITY > F.col("bad") * (total[False] / total[True]))).collect())
+    ratio = total[False] / total[True]
+    common = lambda bad, good: good > 0 and good * PURITY > bad * ratio
+    found = sorted((r["s"], r["bad"], r["good"]) for r in counted.collect())  # bounded, as the sample is
+    rigid = []
+    for s in sorted(set(stems) - set(INSULTS)):
+        own = Lexicon([s], free=True)
+        around = [(bad, good) for w, bad, good in found if own.match(w) > 0]
+        if common(sum(bad for bad, _ in around), sum(good for _, good in around)) and len(around) > FEW:
+            rigid.append(s)
+    return [w for w, bad, good in found if common(bad, good)], rigid
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from at most ``sample`` labelled rows that are not held out."""
     rows = training_rows(docs, labels, sample, id_col, text_col)
     stems = sorted({*learn_stems(rows), *INSULTS})
-    known = learn_known(rows, stems)
-    seen = rows.mapInArrow(_features(stems, 1, ["label"], known=known), "label int, " + ", ".join(f"{c} long" for c in FEATURES)).toPandas()
+    known, rigid = learn_near(rows, stems)
+    seen = rows.mapInArrow(_features(stems, 1, ["label"], known=known, rigid=rigid), "label int, " + ", ".join(f"{c} long" for c in FEATURES)).toPandas()
     if seen["label"].nunique() < 2:
-        return Model(stems, DEFAULT, known)
+        return Model(stems, DEFAULT, known, rigid)
     seen = seen.sort_values(list(seen.columns))
-    return Model(stems, regress(seen[list(FEATURES)].to_numpy(), (seen["label"] > 0).to_numpy().astype(float)), known)
+    return Model(stems, regress(seen[list(FEATURES)].to_numpy(), (seen["label"] > 0).to_numpy().astype(float)), known, rigid)
 
 
-def _features(stems: list[str], keep: int, names: list[str], weights: np.ndarray | None = None, known: list[str] = ()):
+def _features(stems: list[str], keep: int, names: list[str], weights: np.ndarray | None = None, known: list[str] = (), rigid: list[str] = ()):
     """A function for mapInArrow: the first ``keep`` columns, the features of the text after them, and the score where there are weights."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Hits(Lexicon(stems, known, free=True))
+        found = Hits(Lexicon(stems, known, free=True, rigid=rigid))
         for batch in batches:
             x = np.array([hits(t.as_py(), found) for t in batch.column(keep)], np.int64).reshape(-1, len(FEATURES))
             more = [] if weights is None else [pa.array(Model(stems, weights).score(x))]
@@ -339,16 +386,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     rows = with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col))
     schema = f"id {kind}, _r_file long, _r_row long, " + ", ".join(f"{c} long" for c in FEATURES) + ", score double"
-    return rows.mapInArrow(_features(model.stems, 3, ["id", "_r_file", "_r_row"], model.weights, model.known), schema)
+    return rows.mapInArrow(_features(model.stems, 3, ["id", "_r_file", "_r_row"], model.weights, model.known, model.rigid), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay. Texts are scored where they lie, so nothing is shuffled."""
     model = fit(docs, labels, sample, id_col, text_col)
-    stems, weights, known = model.stems, model.weights, model.known
+    stems, weights, known, rigid = model.stems, model.weights, model.known, model.rigid
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Hits(Lexicon(stems, known, free=True))
+        found = Hits(Lexicon(stems, known, free=True, rigid=rigid))
         for batch in batches:
             x = np.array([hits(t.as_py(), found) for t in batch.column(text_col)], np.int64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(Model(stems, weights).score(x) < threshold))
