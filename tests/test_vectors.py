@@ -130,8 +130,10 @@ def test_skeletons_and_keys_against_their_twins(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", X.skeleton("x").alias("s"), X.match_key("x").alias("k")).collect()
     assert len(rows) > 100
     for r in rows:
+        if not usual(skeleton(r.x)):  # what ICU 16 maps to has another prototype since
+            continue
         assert r.s == skeleton(r.x), ascii(r.x)
-        if all(usual(unicodedata.normalize("NFKC", y)) for y in (r.x, r.s)):
+        if all(usual(unicodedata.normalize("NFKC", y)) for y in (r.x, r.s, key(r.x))):
             assert r.k == key(r.x), ascii(r.x)
 
 
