@@ -100,54 +100,74 @@ class Lexicon:
     def match(self, word: str) -> int:
         """Edits between the word's beginning and the nearest stem within its allowance; -1 for none.
 
-        The automaton's state at a trie node is the row of edit distances between
-        the node's string and the word's beginnings, for two
-        letters less to two more than the node's depth, as others are further off. A node is left as
-        soon as its row has nothing within the largest allowance below it. An edited
+        The automaton of the word runs along the trie. Its state at a node is a set of places in the word
+        for each number of edits, as the bits of an integer: bit j is set if the word's first j letters are so many edits
+        or fewer from the node's string. A node is left as
+        soon as no place is within the largest allowance below it. An edited
         word is at most as much longer than the stem as the stem itself is long.
         """
-        best, far, full = -1, 9, len(word)
+        full = len(word)
+        if word in self.known:
+            return self._exact(word)
         word = word[: self.longest + 3]  # beyond the longest stem and its edits, no letter changes the result
         n = len(word)
-        near = word not in self.known
         begin = word[: DEEP + 2]
         if begin in self.dead:
-            return best
-        deep = not near or n < DEEP + 2
-        todo = [(self.root, "", list(range(n + 1)), None, 0)]
+            return -1
+        at: dict[str, int] = {}
+        bit = 2
+        for ch in word:
+            at[ch] = at.get(ch, 0) | bit
+            bit <<= 1
+        every, best, deep = bit - 1, -1, n < DEEP + 2
+        # Node, its letter, places at 0, 1 and 2 edits, the same at 0 and 1 for the node above, and its depth.
+        todo = [(self.root, "", 1, 3 & every, 7 & every, 0, 0, 0)]
         while todo:
-            node, ch, row, before, depth = todo.pop()
-            deep = deep or depth >= DEEP or bool(node.stem)
+            node, ch, r0, r1, r2, p0, p1, depth = todo.pop()
+            deep = deep or depth >= DEEP or node.stem > 0
             if node.stem:
-                off = min(row[1:], default=far)
-                if off == 0 or near and off <= node.edits and full >= node.stem - off and full <= 2 * node.stem:
+                off = 0 if r0 > 1 else 1 if r1 > 1 else 2 if r2 > 1 else 9
+                if off == 0:
+                    return 0
+                if off <= node.edits and node.stem - off <= full <= 2 * node.stem:
                     best = off if best < 0 else min(best, off)
-                    if best == 0:
-                        return 0
-            depth += 1
-            low, high = max(1, depth - 2), min(n, depth + 2)
-            if low > n:
-                continue
-            for c, child in node.children.items() if self.free or depth > 1 else [(word[0], node.children[word[0]])] if word[:1] in node.children else []:
-                new = [far] * (n + 1)
-                new[0] = depth
-                for j in range(low, high + 1):
-                    v = row[j - 1] + (word[j - 1] != c)
-                    if row[j] < v:
-                        v = row[j] + 1
-                    if new[j - 1] < v:
-                        v = new[j - 1] + 1
-                    if before is not None and j > 1 and word[j - 1] == ch and word[j - 2] == c and before[j - 2] < v:  # two letters in the other order
-                        v = before[j - 2] + 1
-                    new[j] = v
-                if min(new) <= (child.most if near else 0):
-                    todo.append((child, c, new, row, depth))
+            if self.free or depth:
+                below = node.children.items()
+            else:
+                below = [(word[0], node.children[word[0]])] if word[:1] in node.children else []
+            up = at.get(ch, 0)
+            for c, child in below:
+                m = at.get(c, 0)
+                n0 = (r0 << 1) & m
+                if not child.most:
+                    if n0:
+                        todo.append((child, c, n0, 0, 0, 0, 0, depth + 1))
+                    continue
+                swapped = (m << 1) & up  # two letters in the other order
+                n1 = (((r1 << 1) & m) | r0 | (r0 << 1) | (n0 << 1) | ((p0 << 2) & swapped)) & every
+                if child.most == 1:
+                    if n1:
+                        todo.append((child, c, n0, n1, 0, r0, r1, depth + 1))
+                    continue
+                n2 = (((r2 << 1) & m) | r1 | (r1 << 1) | (n1 << 1) | ((p1 << 2) & swapped)) & every
+                if n2:
+                    todo.append((child, c, n0, n1, n2, r0, r1, depth + 1))
         if not deep:
             if len(self.dead) > CACHE:
                 self.dead.clear()
             self.dead.add(begin)
         return best
 
+    def _exact(self, word: str) -> int:
+        """0 if the word begins with a stem, else -1."""
+        node = self.root
+        for ch in word:
+            if (node := node.children.get(ch)) is None:
+                return -1
+            if node.stem:
+                return 0
+        return -1
+
 
 class Hits(dict):
     """What a word, as it stands between white space, has: 0 nothing, 1 a stem, 2 a misspelled stem."""
