@@ -11,13 +11,16 @@ is set in over half of them. Two ways of dealing fingerprints to shards:
   rows. Here trees only find candidates: each distinct shingle counts once, the radius is
   wide, and a pair is linked after its Jaccard similarity is counted on the shingle sets.
 
-A shard's BK-tree is built where the shard's rows arrive, and links found there
-leave as one star per component, not as pairs. Trees are not broadcast: all
+A shard that outgrows a bound is split before it is shuffled, and no link is lost:
+one of blocks by choices of blocks of its other bits, one of a band into cells that
+hold two of its parts each. A shard's BK-tree is built where the shard's rows arrive,
+and links found there leave as one star per component, not as pairs. Trees are not broadcast: all
 shards together grow with the corpus, so no size bound could be proven for them.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterable, Iterator
@@ -39,6 +42,8 @@ CHUNK = 1 << 17
 #: Rows of shards that are put into one forest, and shingles where their sets come along.
 FOREST = 1 << 18
 SHINGLES = 1 << 22
+#: A shard of blocks with more fingerprints is dealt again by further bits, while it has more free bits than ``FREE``; fingerprints are distinct, so 2**FREE is its bound.
+SHARD, FREE = 1 << 18, 20
 _MIX, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -110,15 +115,51 @@ def fingerprints(docs: DataFrame, words: int, n_words: int = 1, bands: int = 0,
     return with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col)).mapInArrow(make, f"id {kind}, _r_file long, _r_row long, print array<long>, bands array<long>")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def choices(bits: list[int], radius: int, exact: int) -> list[int]:
+    """Masks of each choice of ``exact`` of ``radius + exact`` blocks of these bits."""
+    n = radius + exact
+    cuts = [round(i * len(bits) / n) for i in range(n + 1)]
+    masks = [sum(1 << k for k in bits[a:b]) for a, b in itertools.pairwise(cuts)]
+    return [_signed(sum(c)) for c in itertools.combinations(masks, exact)]
+
+
 def block_shards(prints: DataFrame, radius: int, exact: int = 2, bits: int = 64) -> DataFrame:
-    """(shard, print) for one-word fingerprints: a row for each choice of ``exact`` of ``radius + exact`` blocks."""
-    cuts = [round(i * bits / (radius + exact)) for i in range(radius + exact + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(cuts)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    choices = [signed(sum(c)) for c in itertools.combinations(masks, exact)]
+    """(shard, mask, print) for one-word fingerprints: a row for each choice of ``exact`` of ``radius + exact`` blocks; a shard's fingerprints agree in the bits of its mask."""
     own = F.col("print")[0]
-    keys = F.array(*(F.xxhash64(F.lit(i), own.bitwiseAND(F.lit(m))) for i, m in enumerate(choices)))
-    return prints.select(F.explode(keys).alias("shard"), "print")
+    keys = F.array(*(F.struct(F.xxhash64(F.lit(i), own.bitwiseAND(F.lit(m))).alias("shard"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(choices(list(range(bits)), radius, exact))))
+    return prints.select(F.inline(keys), "print")
+
+
+def split_shards(shards: DataFrame, radius: int, exact: int = 2, bits: int = 64, most: int = SHARD, free: int = FREE) -> DataFrame:
+    """(shard, print) of ``block_shards`` in which no shard has more than ``most`` fingerprints, or else ``free`` free bits at most.
+
+    Two fingerprints of a shard agree in its mask, so what they differ in lies in the
+    free bits; those fall into blocks as all bits did, and again a pair within the radius
+    agrees in ``exact`` of them. Hence every such pair of a shard that is split meets in a
+    new one. Only shards are counted here; what goes to the driver are masks, choices of blocks.
+    """
+    spark = shards.sparkSession
+    whole: list[DataFrame] = []
+    while True:
+        hot = stage(shards.groupBy("shard").agg(F.min("mask").alias("mask"), F.count("*").alias("n")).where(F.col("n") > most).select("shard", "mask"), "hot-shards")
+        deal = []
+        for (mask,) in hot.select("mask").distinct().collect():
+            left = [k for k in range(bits) if not mask >> k & 1]
+            if len(left) > max(free, radius + exact):
+                deal += [(mask, sub) for sub in choices(left, radius, exact)]
+        if not deal:
+            break
+        subs = spark.createDataFrame(deal, "mask long, sub long")
+        hot = hot.join(F.broadcast(subs.select("mask").distinct()), "mask", "left_semi").select("shard")
+        whole.append(shards.join(hot, "shard", "left_anti").select("shard", "print"))
+        dealt = shards.join(hot, "shard", "left_semi").join(F.broadcast(subs), "mask")
+        key = F.xxhash64("shard", "sub", F.col("print")[0].bitwiseAND(F.col("sub")))
+        shards = stage(dealt.select(key.alias("shard"), F.col("mask").bitwiseOR(F.col("sub")).alias("mask"), "print"), "split-shards")
+    return functools.reduce(DataFrame.unionByName, whole, shards.select("shard", "print"))
 
 
 def band_shards(prints: DataFrame) -> DataFrame:
@@ -183,7 +224,7 @@ def near_groups(docs: DataFrame, words: int = 5, n_words: int = 1, radius: int =
         raise ValueError("blocks deal fingerprints of one word; give bands for longer ones")
     made = stage(fingerprints(docs, words, n_words, bands, rows, id_col, text_col), "fingerprints")
     prints = stage(made.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
-    shards = band_shards(made) if bands else block_shards(prints, radius, exact)
+    shards = band_shards(made) if bands else split_shards(block_shards(prints, radius, exact), radius, exact)
     comps = components(shard_links(shards, radius, n_words))
     named = stage(comps.join(prints, comps["node"] == prints["print"]).groupBy("comp").agg(F.min("least").alias("first")), "component-names")
     of = comps.join(named, "comp").select(F.col("node").alias("print"), "first")
@@ -230,33 +271,42 @@ class Sets:
 
 
 def shingle_sets(docs: DataFrame, words: int, n_words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``fingerprints`` in which each distinct shingle counts once, with ``set``, a digest of the distinct shingles."""
+    """``fingerprints`` in which each distinct shingle counts once, with ``set``, a digest of the distinct shingles, and ``n``, their number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, prints, keys = [], [], []
+            sets, sizes, prints, keys = [], [], [], []
             for text in batch.column(3):
                 own = shingle_set(text.as_py(), words)
                 bits, least = majority((own[k : k + CHUNK] for k in range(0, len(own), CHUNK)), n_words, bands * rows)
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
                 prints.append(bits.view(np.int64))
                 keys.append([xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)])
             keys = np.array(keys, np.uint64).view(np.int64).reshape(-1, bands)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), _lists(np.array(prints, np.int64).reshape(-1, n_words)), _lists(keys)], ["id", "_r_file", "_r_row", "set", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), _lists(np.array(prints, np.int64).reshape(-1, n_words)), _lists(keys)], ["id", "_r_file", "_r_row", "set", "n", "print", "bands"])
 
     kind = dict(docs.dtypes)[id_col]
-    return with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col)).mapInArrow(make, f"id {kind}, _r_file long, _r_row long, set binary, print array<long>, bands array<long>")
+    return with_row_key(docs).select(F.col(id_col).alias("id"), "_r_file", "_r_row", F.col(text_col)).mapInArrow(make, f"id {kind}, _r_file long, _r_row long, set binary, n long, print array<long>, bands array<long>")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, words: int, n_words: int, similarity: float, text_col: str) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, words: int, n_words: int, similarity: float, text_col: str, most: int = SHINGLES) -> DataFrame:
     """Links (a, b: digests of ``sets``) that join each shard's components under pairs of at least this Jaccard similarity.
 
-    Shingles are read again, and sent along, only of texts that share a shard with another.
+    Shingles are read again, and sent along, only of texts that share a shard with another. A shard with more than
+    ``most`` shingles goes into parts, and each two parts into a cell of about ``most`` shingles, so all its
+    pairs meet; a single text is never cut.
     """
     radius = wide_radius(similarity, 64 * n_words)
-    shards = sets.select(F.posexplode("bands").alias("band", "key"), "set", "print", "best").select(F.xxhash64("band", "key").alias("shard"), "set", "print", "best")
-    more = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    some = shards.join(more, "shard", "left_semi").groupBy("set").agg(F.collect_set("shard").alias("shards"), F.first("print").alias("print"), F.first("best").alias("best"))
+    shards = sets.select(F.posexplode("bands").alias("band", "key"), "set", "n", "print", "best").select(F.xxhash64("band", "key").alias("shard"), "set", "n", "print", "best")
+    parts = F.least(F.ceil(2 * F.sum("n") / most), F.count("*")).cast("int")
+    more = shards.groupBy("shard").agg(F.count("*").alias("rows"), parts.alias("parts")).where("rows > 1").select("shard", "parts")
+    part = F.pmod(F.xxhash64("set", "shard"), F.col("parts")).cast("int")
+    cell = lambda other: F.xxhash64("shard", F.least(part, other), F.greatest(part, other))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != part)
+    cells = F.when(F.col("parts") < 3, F.array("shard")).otherwise(F.transform(others, cell))
+    some = shards.join(more, "shard").select("set", "print", "best", cells.alias("cells"))
+    some = some.groupBy("set").agg(F.flatten(F.collect_list("cells")).alias("shards"), F.first("print").alias("print"), F.first("best").alias("best"))
     rows, names = join_rows(docs, some.select("best._r_file", "best._r_row", "set", "print", "shards"), "inner", "set", "print", "shards")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +379,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_r_file", "_r_row")
     made = stage(shingle_sets(docs, id_col=id_col, text_col=text_col, **NEAR), "shingle-sets")
-    sets = stage(made.groupBy("set").agg(F.min(order).alias("best"), F.first("print").alias("print"), F.first("bands").alias("bands")), "distinct-sets")
+    sets = stage(made.groupBy("set").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")), "distinct-sets")
     comps = components(set_links(docs, sets, NEAR["words"], NEAR["n_words"], similarity, text_col))
     firsts = stage(comps.join(sets, comps["node"] == sets["set"]).groupBy("comp").agg(F.min("best").alias("first")), "component-firsts")
     of = comps.join(firsts, "comp").select(F.col("node").alias("set"), "first")
