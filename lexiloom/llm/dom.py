@@ -8,6 +8,8 @@ import re
 # Names of HTML elements by what the reader does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea title select noframes".split())
+#: Of these, what HTML reads as text to the end of the page where the end tag is missing; the others end with their parent.
+TO_THE_END = frozenset("script style iframe textarea title noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 #: An opening tag ends an open element of these names, up to the nearest of the containers.
@@ -56,7 +58,7 @@ class Page:
 
     def _read(self, s: str) -> None:
         """One pass: each open element is found by its name, so a page costs time in proportion to its length, however it nests."""
-        open_, at, n, unpaired = _Open(), 0, len(s), 0
+        open_, at, n, unpaired, endless = _Open(), 0, len(s), 0, set()
         while at < n:
             lt = s.find("<", at)
             if lt < 0:
@@ -90,8 +92,14 @@ class Page:
                     self._end(open_, k, tag not in INLINE)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at) if not m[3].endswith("/") else None
-                at = end.end() if end else (at if m[3].endswith("/") else n)
+                if m[3].endswith("/") or tag in endless:
+                    continue
+                if end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at):
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    return
+                else:
+                    endless.add(tag)  # no later one has an end tag either
                 continue
             if tag in CLOSES_P:
                 self._end(open_, open_.nearest(("p",), P_SCOPE))

@@ -152,7 +152,13 @@ def test_quotation_marks_cost_one_tag():
     assert texts(Page("<p>x <math><mi>y</mi></math> z<object><p>w</p></object>")) == "x y z w"
 
 
-@pytest.mark.parametrize("s", ["<div>" * 1_000_000, "<p><button>" + "<div>" * 1_000_000, "</div>" * 1_000_000, "<b></i>" * 500_000, "<li>" * 1_000_000, "<a '>' " * 500_000, "<p x='" * 500_000])
+def test_elements_without_their_end_tags():
+    assert texts(Page("<p>a</p><select><option>b<p>c</p>")) == "a b c"  # ends with its parent, not with the page
+    assert texts(Page("<noscript><p>a</p><svg>b</svg><p>c</p><template>d")) == "a c d"
+    assert texts(Page("<p>a</p><script>b<p>c</p>")) == "a"
+
+
+@pytest.mark.parametrize("s", ["<div>" * 1_000_000, "<p><button>" + "<div>" * 1_000_000, "</div>" * 1_000_000, "<b></i>" * 500_000, "<li>" * 1_000_000, "<a '>' " * 500_000, "<p x='" * 500_000, "<svg><select>" * 300_000])
 def test_reader_is_linear(s):
     began = time.monotonic()
     Page(s)
