@@ -172,5 +172,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_secrets": op10_secrets}
-ORACLES: dict[str, str] = {}
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op10_secrets``, which SQL can express."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+COUNTS_SQL = rf"""
+with texts as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id,
+  len(list_filter(regexp_extract_all(text, '{ASSIGN_PATTERN.replace("'", "''")}', 2), lambda x: length(x) >= {ASSIGN_LEAST})) as n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
+from texts
+"""
+
+QUERIES = {"op10_secrets": op10_secrets, "secret_counts": secret_counts}
+ORACLES: dict[str, str] = {"secret_counts": COUNTS_SQL}
