@@ -29,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest
@@ -162,8 +162,24 @@ def split_shards(shards: DataFrame, radius: int, exact: int = 2, bits: int = 64,
     return functools.reduce(DataFrame.unionByName, whole, shards.select("shard", "print"))
 
 
-def band_shards(prints: DataFrame) -> DataFrame:
-    return prints.select(F.posexplode("bands").alias("band", "key"), "print").select(F.xxhash64("band", "key").alias("shard"), "print").distinct()
+def band_shards(prints: DataFrame, most: int = SHARD) -> DataFrame:
+    """(shard, print) of bands of minima, large shards in cells."""
+    return in_cells(prints.select(F.posexplode("bands").alias("band", "key"), "print").select(F.xxhash64("band", "key").alias("shard"), "print").distinct(), "print", F.lit(1), most).select(F.explode("cells").alias("shard"), "print")
+
+
+def in_cells(shards: DataFrame, name: str, weight: Column, most: int) -> DataFrame:
+    """Rows of ``shards`` that share theirs with another, and ``cells``: the shards to send them to instead.
+
+    A shard that weighs more than ``most`` goes into parts by a hash of ``name``, and each two parts
+    into a cell that weighs about ``most``: any two rows of the shard meet in a cell, and no task
+    holds more than that. A row of a shard of p parts goes to p - 1 cells.
+    """
+    parts = F.least(F.ceil(2 * F.sum(weight) / most), F.count("*")).cast("int")
+    more = shards.groupBy("shard").agg(F.count("*").alias("rows"), parts.alias("parts")).where("rows > 1").select("shard", "parts")
+    part = F.pmod(F.xxhash64(name, "shard"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != part)
+    cells = F.transform(others, lambda k: F.xxhash64("shard", F.least(part, k), F.greatest(part, k)))
+    return shards.join(more, "shard").withColumn("cells", F.when(F.col("parts") < 3, F.array("shard")).otherwise(cells))
 
 
 def shard_links(shards: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
@@ -294,18 +310,11 @@ def set_links(docs: DataFrame, sets: DataFrame, words: int, n_words: int, simila
     """Links (a, b: digests of ``sets``) that join each shard's components under pairs of at least this Jaccard similarity.
 
     Shingles are read again, and sent along, only of texts that share a shard with another. A shard with more than
-    ``most`` shingles goes into parts, and each two parts into a cell of about ``most`` shingles, so all its
-    pairs meet; a single text is never cut.
+    ``most`` shingles is split into cells; a single text is never cut.
     """
     radius = wide_radius(similarity, 64 * n_words)
     shards = sets.select(F.posexplode("bands").alias("band", "key"), "set", "n", "print", "best").select(F.xxhash64("band", "key").alias("shard"), "set", "n", "print", "best")
-    parts = F.least(F.ceil(2 * F.sum("n") / most), F.count("*")).cast("int")
-    more = shards.groupBy("shard").agg(F.count("*").alias("rows"), parts.alias("parts")).where("rows > 1").select("shard", "parts")
-    part = F.pmod(F.xxhash64("set", "shard"), F.col("parts")).cast("int")
-    cell = lambda other: F.xxhash64("shard", F.least(part, other), F.greatest(part, other))
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != part)
-    cells = F.when(F.col("parts") < 3, F.array("shard")).otherwise(F.transform(others, cell))
-    some = shards.join(more, "shard").select("set", "print", "best", cells.alias("cells"))
+    some = in_cells(shards, "set", F.col("n"), most)
     some = some.groupBy("set").agg(F.flatten(F.collect_list("cells")).alias("shards"), F.first("print").alias("print"), F.first("best").alias("best"))
     rows, names = join_rows(docs, some.select("best._r_file", "best._r_row", "set", "print", "shards"), "inner", "set", "print", "shards")
 

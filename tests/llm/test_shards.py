@@ -70,3 +70,17 @@ def test_bands_split_into_cells(spark, tmp_path):
     groups = lambda most: grouped((bytes(r.node), bytes(r.comp)) for r in components(links(most)).collect())
     whole = groups(simhash.SHINGLES)
     assert len(whole) > 0 and whole == groups(3000) == groups(1)
+
+
+def test_cells_of_bands(spark):
+    """Any two rows of a shard share a cell, and no cell is much larger than asked."""
+    rows = spark.createDataFrame([(k % 2, k) for k in range(400)] + [(7, 1), (8, 1), (8, 2)], "shard long, name long")
+    got = simhash.in_cells(rows, "name", F.lit(1), 50).select("shard", "name", F.explode("cells").alias("cell")).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault((r.shard, r.cell), []).append(r.name)
+    assert {s for s, _ in cells} == {0, 1, 8} and max(map(len, cells.values())) <= 90
+    for shard in (0, 1, 8):
+        names = {n for (s, _), x in cells.items() if s == shard for n in x}
+        met = {(a, b) for (s, _), x in cells.items() if s == shard for a in x for b in x}
+        assert len(met) == len(names) ** 2
