@@ -3,7 +3,8 @@
 Base rules fail texts that are short or repeat themselves. The others are judged
 by an isolation forest: random splits of random statistics isolate unusual
 documents after few steps, and the mean number of steps over the trees gives a
-score. Trees and threshold come from a bounded sample of labelled rows.
+score. All rows that pass the base rules are dealt to the trees, and all of them
+that have labels set the threshold.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, table, with_row_key
 
-#: Labelled rows that the forest and its threshold may see.
-SAMPLE = 20_000
 TREES = 200
+#: A tree's steps are those of a tree over this many of its rows, however many it has.
 SUBSAMPLE = 128
 SEED = 11
 MIN_WORDS = 50
@@ -109,9 +109,23 @@ def statistics(c: pd.DataFrame) -> np.ndarray:
 
 
 def mean_steps(n: np.ndarray | int) -> np.ndarray:
-    """Mean path length of an unsuccessful search in a binary tree of n rows."""
-    n = np.asarray(n, np.float64)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+    """Mean path length of an unsuccessful search in a binary tree of n rows; on a line between whole numbers."""
+
+    def whole(n: np.ndarray) -> np.ndarray:
+        return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+
+    low = np.floor(np.asarray(n, np.float64))
+    return whole(low) + (n - low) * (whole(low + 1) - whole(low))
+
+
+def ranges(x: np.ndarray, weight: np.ndarray, m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per column the least and the largest value that m rows drawn from these would have, by their mean ranks; a row counts ``weight`` times."""
+    n = int(weight.sum())
+    beyond = int((n - m) / (m + 1))
+    order = np.argsort(x, axis=0, kind="stable")
+    upto, column = np.cumsum(weight[order], axis=0), np.arange(x.shape[1])
+    low, high = (x[order[(upto <= rank).sum(axis=0), column], column] for rank in (beyond, n - 1 - beyond))
+    return low, high
 
 
 @dataclass
@@ -123,20 +137,29 @@ class Forest:
     threshold: float = math.inf
 
     @classmethod
-    def grow(cls, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest:
+    def grow(cls, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int | tuple[int, ...] = SEED, weight: np.ndarray | None = None) -> Forest:
+        """Trees over all rows of ``x``, which count ``weight`` times.
+
+        A tree of many rows isolates badly: its ranges reach to the rarest rows, and unusual rows hide each other.
+        So ranges and steps are what ``subsample`` of the rows would have on average; with no more rows than
+        that, they are the rows' own.
+        """
         rng = np.random.default_rng(seed)
-        subsample = min(subsample, len(x))
+        weight = np.ones(len(x), np.int64) if weight is None else weight
+        total = int(weight.sum())
+        share = min(1.0, subsample / max(1, total))
         depth = max(1, math.ceil(math.log2(max(2, subsample))))
         shape = (trees, 2 ** (depth + 1) - 1)
-        out = cls(np.full(shape, -1), np.zeros(shape), np.zeros(shape), subsample)
+        out = cls(np.full(shape, -1), np.zeros(shape), np.zeros(shape), min(subsample, total))
         for t in range(trees):
-            todo = [(0, 0, rng.choice(len(x), subsample, replace=False))]
+            todo = [(0, 0, np.arange(len(x)))]
             while todo:
                 node, level, rows = todo.pop()
-                low, high = (f(x[rows], axis=0) for f in (np.min, np.max)) if len(rows) else (np.zeros(1), np.zeros(1))
+                m = share * int(weight[rows].sum())
+                low, high = ranges(x[rows], weight[rows], m) if level < depth and m >= 2 else (np.zeros(1), np.zeros(1))
                 varied = np.flatnonzero(high > low)
-                if level == depth or len(rows) < 2 or not len(varied):
-                    out.steps[t, node] = level + mean_steps(len(rows))
+                if not len(varied):
+                    out.steps[t, node] = level + mean_steps(m)
                     continue
                 f = int(rng.choice(varied))
                 cut = rng.uniform(low[f], high[f])
@@ -161,38 +184,108 @@ class Forest:
         return 2.0 ** (-steps / len(self.feature) / max(float(mean_steps(self.subsample)), 1e-9))
 
 
-def labelled_sample(labels: DataFrame, column: str, most: int = SAMPLE, id_col: str = "doc_id", where: Column | None = None) -> DataFrame:
-    """(id, label) of at most ``most`` labelled ids, the first by a hash; an id with several labels has the largest."""
+def labelled(labels: DataFrame, column: str, id_col: str = "doc_id", where: Column | None = None) -> DataFrame:
+    """(of, label) of every labelled id; an id with several labels has the largest."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull())
     rows = rows if where is None else rows.where(where)
-    return rows.groupBy(F.col(id_col).alias("of")).agg(F.max(column).alias("label")).orderBy(F.xxhash64("of"), "of").limit(most)
-
-
-def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
-    """The threshold with the largest sum of true positive and true negative rates, in the middle of its gap."""
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    bad_total, good_total = max(1, (~g).sum()), max(1, g.sum())
-    kept_good, kept_bad = np.cumsum(g) / good_total, np.cumsum(~g) / bad_total
-    gain = kept_good - kept_bad
-    gain[:-1][s[1:] == s[:-1]] = -1  # ties are on one side
-    k = int(np.argmax(gain))
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else math.inf
-
-
-def fit(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """Forest and threshold from at most ``sample`` labelled rows, the first by a hash of the id, that pass the base rules; None without any of either label."""
-    picked = labelled_sample(labels, "quality", sample)
-    rows = counted.where(~base_failed()).join(F.broadcast(picked), F.col("id") == F.col("of")).drop("_r_file", "_r_row").orderBy(F.xxhash64("id"), "id", *COUNTS).limit(sample).toPandas()
-    if rows["label"].nunique() < 2:
+    return rows.groupBy(F.col(id_col).alias("of")).agg(F.max(column).alias("label"))
+
+
+def labelled_sample(labels: DataFrame, column: str, most: int, id_col: str = "doc_id", where: Column | None = None) -> DataFrame:
+    """``labelled``, but at most ``most`` ids, the first by a hash."""
+    return labelled(labels, column, id_col, where).orderBy(F.xxhash64("of"), "of").limit(most)
+
+
+def deal(passed: DataFrame, n: int, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """tree, ``COUNTS`` and weight: each of the n rows in one tree at least.
+
+    A round deals all rows to as many trees as get ``subsample`` rows each; few rows take several rounds, so
+    that all trees get that many. Equal rows of a tree are one row with a weight.
+    """
+    width = min(trees, max(1, n // subsample))
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(trees / width) - 1)))
+    tree = F.col("round") * width + F.pmod(F.xxhash64("id", *COUNTS, "round"), F.lit(width))
+    dealt = passed.select("id", *COUNTS, rounds.alias("round")).select(tree.cast("int").alias("tree"), *COUNTS)
+    return dealt.where(F.col("tree") < trees).groupBy("tree", *COUNTS).agg(F.count("*").alias("weight"))
+
+
+def grow_all(passed: DataFrame) -> Forest:
+    """The forest of all rows; a task holds the rows of one tree, a 200th of them where there are many."""
+    n = passed.count()
+    subsample = max(1, min(SUBSAMPLE, n))
+
+    def make(rows: pa.Table) -> pa.Table:
+        c = rows.to_pandas()
+        tree = int(c["tree"].iloc[0])
+        one = Forest.grow(statistics(c), 1, subsample, (SEED, tree), c["weight"].to_numpy())
+        return pa.table({"tree": pa.array([tree], pa.int32()), "feature": [one.feature[0]], "at": [one.at[0]], "steps": [one.steps[0]]})
+
+    rows = deal(passed, n).groupBy("tree").applyInArrow(make, "tree int, feature array<long>, at array<double>, steps array<double>").collect()
+    rows.sort(key=lambda r: r["tree"])
+    return Forest(*(np.array([r[c] for r in rows]) for c in ("feature", "at", "steps")), subsample)
+
+
+def calibrate(scored: DataFrame, good_total: int, bad_total: int) -> float:
+    """The threshold with the largest sum of true positive and true negative rates, in the middle of its gap.
+
+    ``scored`` has score, good and bad (numbers of rows), each score once. It is sorted over the cluster; a
+    partition gives its best place, which does not depend on those before it, and its sums.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = bad = 0
+        first = top = after = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, g, b = (c.to_numpy() for c in batch.columns)
+            first = s[0] if first is None else first
+            after = s[0] if after is None else after  # the best place was the last
+            g, b = good + np.cumsum(g), bad + np.cumsum(b)
+            gain = g.astype(object) * bad_total - b.astype(object) * good_total
+            k = int(np.argmax(gain))
+            if top is None or gain[k] > top[0]:
+                top, after = (gain[k], g[k], b[k], s[k]), s[k + 1] if k + 1 < len(s) else None
+            good, bad = int(g[-1]), int(b[-1])
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((good, bad, *top[1:3], first, top[3], after), types, strict=True)], names)
+
+    names, types = ["good", "bad", "top_good", "top_bad", "first", "top", "after"], [pa.int64()] * 4 + [pa.float64()] * 3
+    parts = scored.select("score", "good", "bad").orderBy("score").mapInArrow(best, ", ".join(f"{c} {t}" for c, t in zip(names, ["long"] * 4 + ["double"] * 3, strict=True))).collect()
+    parts.sort(key=lambda p: p["first"])
+    good = bad = 0
+    most, found = -math.inf, math.inf
+    for k, p in enumerate(parts):
+        gain = (good + p["top_good"]) * bad_total - (bad + p["top_bad"]) * good_total
+        if gain > most:
+            after = p["after"] if p["after"] is not None else parts[k + 1]["first"] if k + 1 < len(parts) else math.inf
+            middle = (p["top"] + after) / 2
+            most, found = gain, middle if middle < after or after == math.inf else p["top"]
+        good, bad = good + p["good"], bad + p["bad"]
+    return found
+
+
+def fit(counted: DataFrame, labels: DataFrame) -> Forest | None:
+    """Forest of all rows that pass the base rules, threshold from all of them that have labels; None without any of either label."""
+    passed = counted.where(~base_failed())
+    good, bad = (F.sum(kind.cast("long")).alias(name) for name, kind in (("good", F.col("label") > 0), ("bad", F.col("label") <= 0)))
+    marked = passed.join(labelled(labels, "quality"), F.col("id") == F.col("of")).groupBy(*COUNTS).agg(good, bad)
+    marked = stage(marked, "labelled-counts")
+    totals = marked.agg(F.sum("good"), F.sum("bad")).first()
+    if not all(totals):
         return None
-    x, good = statistics(rows), rows["label"].to_numpy() > 0
-    forest = Forest.grow(x)
-    forest.threshold = calibrate(forest.score(x), good)
+    forest = grow_all(passed)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(statistics(batch.to_pandas()))), *batch.columns[-2:]], ["score", "good", "bad"])
+
+    scored = marked.mapInArrow(make, "score double, good long, bad long")
+    forest.threshold = calibrate(scored.groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), *totals)
     return forest
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its counts, base_failed, anomaly (0 to 1) and kept.
 
     Null and empty texts have no words and fail the base rules. Null ids stay
@@ -201,7 +294,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     decide and anomaly is 0.
     """
     counted = stage(rule_counts(docs, id_col, text_col), "rule-counts")
-    forest = fit(counted, labels, sample)
+    forest = fit(counted, labels)
     names = ["id", "_r_file", "_r_row", *COUNTS, "base_failed", "anomaly", "kept"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
